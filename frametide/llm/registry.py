@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from frametide.llm import quality
+from frametide.llm import decontaminate, quality
 
 QUERIES = {
     "op6_host_quality": quality.query,
+    "op8_decontaminate": decontaminate.query,
 }
 ORACLE_SQL = {
     "op6_host_quality": quality.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
 }
