@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from frametide.llm import decontaminate, quality
+from frametide.llm import decontaminate, quality, simhash
 
 QUERIES = {
+    "op4_simhash_golay": simhash.query,
     "op6_host_quality": quality.query,
     "op8_decontaminate": decontaminate.query,
 }
