@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from frametide.llm import decontaminate, quality, simhash
+from frametide.llm import decontaminate, packing, quality, simhash
 
 QUERIES = {
+    "op3_binary_packing": packing.query,
     "op4_simhash_golay": simhash.query,
     "op6_host_quality": quality.query,
     "op8_decontaminate": decontaminate.query,
