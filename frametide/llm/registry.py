@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from frametide.llm import decontaminate, packing, quality, simhash
+from frametide.llm import decontaminate, packing, quality, sharding, simhash
 
 QUERIES = {
     "op3_binary_packing": packing.query,
     "op4_simhash_golay": simhash.query,
     "op6_host_quality": quality.query,
+    "op7_histogram_shards": sharding.query,
     "op8_decontaminate": decontaminate.query,
 }
 ORACLE_SQL = {
