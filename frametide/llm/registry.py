@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from frametide.llm import decontaminate, html_text, packing, quality, sharding, simhash
+from frametide.llm import decontaminate, html_text, packing, quality, sharding, simhash, warc
 
 QUERIES = {
     "op3_binary_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_host_quality": quality.query,
     "op7_histogram_shards": sharding.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_warc_chunks": warc.query,
     "op10_line_blocks": html_text.query,
 }
 ORACLE_SQL = {
