@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from frametide.llm import decontaminate, html_text, packing, quality, sharding, simhash, warc
+from frametide.llm import decontaminate, html_text, packing, quality, sharding, simhash, url_rules, warc
 
 QUERIES = {
+    "op2_url_rules": url_rules.query,
     "op3_binary_packing": packing.query,
     "op4_simhash_golay": simhash.query,
     "op6_host_quality": quality.query,
