@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from frametide.llm import decontaminate, html_text, packing, quality, sharding, simhash, url_rules, warc
+from frametide.llm import decontaminate, html_text, line_dedup, packing, quality, sharding, simhash, url_rules, warc
 
 QUERIES = {
+    "op1_line_spread": line_dedup.query,
     "op2_url_rules": url_rules.query,
     "op3_binary_packing": packing.query,
     "op4_simhash_golay": simhash.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_line_blocks": html_text.query,
 }
 ORACLE_SQL = {
+    "op1_line_spread": line_dedup.ORACLE,
     "op6_host_quality": quality.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
 }
