@@ -130,25 +130,37 @@ def _report(words: Column, found: Column, window: int) -> Column:
             ),
         )
 
-    plain = F.struct(F.size(words).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
-    return F.when(found.isNull(), plain).otherwise(let(words, checked))
+    return let(words, checked)
+
+
+def _parted(docs: DataFrame, key: str, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents with a candidate, joined to it, and all others. ``key`` names the key column in both.
+
+    Only keys are compared with all documents, so Catalyst can broadcast them while they are small, and only texts with a
+    candidate are joined to what was found.
+    """
+    keys, _ = written(candidates.select(key), "candidate-keys")
+    return docs.join(keys, key, "left_semi").join(candidates, key), docs.join(keys, key, "left_anti")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, items`` (the ids of the items found, as sorted strings)."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     candidates = _candidates(slim, items, item_id, item_text, window)
-    joined = keyed(slim, "doc_id", "text").join(candidates, "doc_key", "left")
-    return joined.select("doc_id", _report(F.col("words"), F.col("found"), window).alias("r")).select("doc_id", "r.*")
+    own = slim.select(F.xxhash64("doc_id", "text").alias("doc_key"), "doc_id", "text")
+    near, _ = _parted(own, "doc_key", candidates)
+    _, far = _parted(own.select("doc_key", "doc_id", F.size(phrase_words(F.col("text"))).cast("long").alias("n_words")), "doc_key", candidates)
+    near = near.select("doc_id", _report(phrase_words(F.col("text")), F.col("found"), window).alias("r")).select("doc_id", "r.*")
+    return near.unionByName(far.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents without a hit, with their own columns."""
     key, found = free_name(docs, "doc_key__"), free_name(docs, "found__")
     candidates = _candidates(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), items, item_id, item_text, window)
-    joined = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text))).join(candidates.toDF(key, found), key, "left")
-    clean = F.col(found).isNull() | (_report(phrase_words(F.col(text)), F.col(found), window)["n_hit"] == 0)
-    return joined.filter(clean).select(*docs.columns)
+    near, far = _parted(docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text))), key, candidates.toDF(key, found))
+    near = near.filter(_report(phrase_words(F.col(text)), F.col(found), window)["n_hit"] == 0)
+    return near.select(*docs.columns).unionByName(far.select(*docs.columns))
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
