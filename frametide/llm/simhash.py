@@ -159,15 +159,43 @@ def _runs(batches: Iterator[pa.RecordBatch], carry: int) -> Iterator[tuple[np.nd
         key0, fp0 = key[-carry:], fp[-carry:]
 
 
-def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    pairs = np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1)
-    return np.unique(pairs, axis=0) if len(pairs) else pairs
+class _Forest:
+    """Lets through only links that join what earlier ones have not: a spanning forest in place of all pairs.
+
+    It holds the fingerprints that it has linked and starts afresh beyond ``HELD``, after which links may repeat.
+    """
+
+    HELD = 500_000
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        up = self.up
+        r = x
+        while (y := up.get(r, r)) != r:
+            r = y
+        while x != r:
+            up[x], x = r, up.get(x, x)
+        return r
+
+    def spanning(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        if len(self.up) > self.HELD:
+            self.up.clear()
+        kept = []
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = self.root(x), self.root(y)
+            if p != q:
+                self.up[max(p, q)] = min(p, q)
+                kept.append((x, y))
+        return kept
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links among equal keys, each row against the ``BUCKET`` before it; ``b`` is null for rows that have more than that."""
+    forest, flagged = _Forest(), set()
     for key, fp, old in _runs(batches, BUCKET + 1):
-        a, b = [], []
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         i = np.arange(max(old, 1), len(key))
         for back in range(1, BUCKET + 1):
             i = i[i >= back]
@@ -177,25 +205,26 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = np.bitwise_count((fp[i] ^ fp[i - back]).view(np.uint64)) <= MAX_BITS
             a.append(fp[i[near]])
             b.append(fp[i[near] - back])
-        big = np.empty(0, np.int64)
+        large = []
         if len(i):  # rows with a full bucket of equal keys before them
-            i = i[i >= BUCKET]
             places = np.unique((i[:, None] - np.arange(BUCKET + 1)[None, :]).ravel())
-            big = np.unique(fp[places])
-        a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
-        pairs = _distinct(a, b)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((pairs[:, 0], big))), pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(big), pa.int64())])], names=["a", "b"]
-        )
+            large = [x for x in np.unique(fp[places]).tolist() if x not in flagged]
+            flagged.update(large)
+            if len(flagged) > _Forest.HELD:
+                flagged.clear()
+        pairs = forest.spanning(np.concatenate(a), np.concatenate(b))
+        rows = [*pairs, *((x, None) for x in large)]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([y for _, y in rows], pa.int64())], names=["a", "b"])
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of consecutive rows with equal keys."""
+    forest = _Forest()
     for key, fp, old in _runs(batches, 1):
         i = np.arange(max(old, 1), len(key))
         i = i[(key[i] == key[i - 1]) & (fp[i] != fp[i - 1])]
-        pairs = _distinct(fp[i], fp[i - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        pairs = forest.spanning(fp[i], fp[i - 1])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([y for _, y in pairs], pa.int64())], names=["a", "b"])
 
 
 def _by_key(rows: DataFrame) -> DataFrame:
