@@ -507,3 +507,51 @@ def batch_assign(spark, sf):
     counts = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("frame_idx")).agg(F.count("*").cast("int").alias("n_patches"))
     patches = counts.select("frame_idx", "n_patches", F.explode(F.sequence(F.lit(0), F.col("n_patches") - 1)).alias("patch_id"))
     return D.batch_assign(patches, 8).select("frame_idx", "patch_id", "batch", "slot", "padding")
+
+
+# What SQL can't express: pixels, and a streaming query.
+
+
+def _pixel_frames(spark, sf):
+    """Small frames made from events: a bright square of 32 pixels on black."""
+    frames = view(spark, sf, "frames").selectExpr("source_idx", "CAST(96 + source_idx % 3 * 32 AS INT) AS w", "CAST(64 + source_idx % 2 * 32 AS INT) AS h", "3 AS channels")
+    grid = frames.selectExpr("*", "CAST(source_idx * 16 % (w - 32) div 16 * 16 AS INT) AS x", "CAST(source_idx * 48 % (h - 32) div 16 * 16 AS INT) AS y")
+    black, bright = "repeat('000000', w)", "concat(repeat('000000', x), repeat('E0E0E0', 32), repeat('000000', w - x - 32))"
+    hexed = f"unhex(concat(repeat({black}, y), repeat({bright}, 32), repeat({black}, h - y - 32)))"
+    return grid.selectExpr("source_idx", "w", "h", "channels", f"{hexed} AS data")
+
+
+@query(None)
+def detect_images(spark, sf):
+    """Boxes of small frames made from events."""
+    from frametide.detector import BrightBlocks
+    from frametide.plans.detect import detect
+    from frametide.settings import Settings
+
+    frames = _pixel_frames(spark, sf).withColumnRenamed("source_idx", "frame_idx")
+    return detect(frames, BrightBlocks(), Settings(patch_size=64, min_overlap=16), key="frame_idx")
+
+
+@query(None)
+def stream_admission(spark, sf):
+    """The admission policy as a streaming query over the event log, drained."""
+    import tempfile
+    import uuid
+
+    from frametide.streaming.admission import admit
+
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="frametide-")).rstrip("/") + f"/admission-{uuid.uuid4().hex}"
+    events = view(spark, sf, "arrivals")
+    events.write.parquet(f"{base}/events")
+    live = spark.readStream.schema(events.schema).parquet(f"{base}/events")
+    q = admit(live, "drop_oldest", 4).writeStream.option("checkpointLocation", f"{base}/state").format("parquet").trigger(availableNow=True).start(f"{base}/out")
+    q.awaitTermination()
+    return spark.read.schema(P.OUTCOME).parquet(f"{base}/out")
+
+
+@query(None)
+def latency_trace_document(spark, sf):
+    """The trace of a run as one JSON document."""
+    queue = view(spark, sf, "queue_runs").orderBy("run", "frames_written").limit(1)
+    named = queue.selectExpr("*", "true AS bounded_latency", "4 AS max_in_flight", "'drop_oldest' AS drop_policy")
+    return M.latency_trace_document(view(spark, sf, "latency"), M.queue_control(named))
