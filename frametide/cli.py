@@ -84,8 +84,7 @@ def run_video(s, detector) -> int:
     rows = frames.read_frames(spark, s.input, stride=s.stride, offset=s.offset, rows=s.max_in_flight, fps_cap=s.input_fps_cap)
     work = tempfile.mkdtemp(prefix="frametide-")
     parts = os.path.join(work, "documents")
-    query = live.run(rows, detector, s, lambda d, n: d.write.mode("overwrite").parquet(f"{parts}/batch={n}"), os.path.join(work, "checkpoint"))
-    query.awaitTermination()
+    live.run(rows, detector, s, lambda d, n: d.write.mode("overwrite").parquet(f"{parts}/batch={n}"), os.path.join(work, "checkpoint"))
     if not os.path.isdir(parts):
         print("0 frames")
         return 0

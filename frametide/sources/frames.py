@@ -1,7 +1,8 @@
 """A live source of frames for Structured Streaming: numbered ``.npy`` frames of a folder that may still be growing.
 
-The offset is the number of frames read so far. ``stride`` and ``offset`` choose frames before they are opened, ``rows`` bounds a
-micro-batch (admission), and ``fps_cap`` bounds frames a second.
+The source itself lists names, a micro-batch at a time; executors open the files. The offset is the number of frames listed so far.
+``stride`` and ``offset`` choose frames before they are opened, ``rows`` bounds a micro-batch (admission), and ``fps_cap`` bounds frames
+a second.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ import os
 import time
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+NAMES = "source_idx bigint, path string"
 SCHEMA = "source_idx bigint, w int, h int, channels int, data binary"
 
 
@@ -24,7 +27,7 @@ class FrameFolder(DataSource):
         return "framefolder"
 
     def schema(self) -> str:
-        return SCHEMA
+        return NAMES
 
     def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
         return _Reader(self.options)
@@ -43,13 +46,8 @@ class _Reader(SimpleDataSourceStreamReader):
         return sorted(n for n in os.listdir(self.path) if n.endswith(".npy"))
 
     def _rows(self, start: int, end: int) -> Iterator[tuple]:
-        import numpy as np
-
-        for i, name in enumerate(self._names()[start:end], start):
-            if i % self.stride == self.first or self.stride == 1:
-                image = np.load(os.path.join(self.path, name))
-                h, w, c = image.shape
-                yield i, w, h, c, image.astype("uint8").tobytes()
+        names = enumerate(self._names()[start:end], start)
+        return iter([(i, os.path.join(self.path, n)) for i, n in names if self.stride == 1 or i % self.stride == self.first])
 
     def initialOffset(self) -> dict:
         return {"frames": 0}
@@ -70,11 +68,21 @@ class _Reader(SimpleDataSourceStreamReader):
         pass
 
 
-def read_frames(spark: SparkSession, path: str, **options):
-    """A streaming DataFrame of the folder's frames."""
+def _pixels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import numpy as np
+
+    for batch in batches:
+        for i, path in zip(batch["source_idx"], batch["path"]):
+            image = np.load(path).astype(np.uint8)
+            h, w, c = image.shape
+            yield pd.DataFrame({"source_idx": [i], "w": [w], "h": [h], "channels": [c], "data": [image.tobytes()]})
+
+
+def read_frames(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A streaming DataFrame of the folder's frames (``SCHEMA``). The folder must be shared with the executors."""
     spark.dataSource.register(FrameFolder)
     reader = spark.readStream.format("framefolder").option("path", path)
     for key, value in options.items():
         if value is not None:
             reader = reader.option(key, str(value))
-    return reader.load()
+    return reader.load().mapInPandas(_pixels, SCHEMA)

@@ -1,7 +1,7 @@
 """Live detection: frames in, documents out in frame order.
 
 Offsets of the source grow with the frame index, so each micro-batch holds later frames than the one before; sorting inside the
-batch then gives an ordered output without a global sort. ``availableNow`` drains what is there and stops.
+batch then gives an ordered output without a global sort.
 """
 
 from __future__ import annotations
@@ -24,10 +24,16 @@ def documents(frames: DataFrame, detector: Detector, s: Settings) -> DataFrame:
 
 
 def run(frames: DataFrame, detector: Detector, s: Settings, sink: Callable[[DataFrame, int], None], checkpoint: str, drain: bool = True) -> StreamingQuery:
-    """Start the query. ``sink(documents, batch)`` is called for every micro-batch; a failed batch is retried as it was."""
+    """Start the query. ``sink(documents, batch)`` is called for every micro-batch; a failed batch is retried as it was.
+
+    With ``drain`` it takes what the source has now, batch by batch, and stops; else it goes on until it is stopped.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         sink(documents(rows, detector, s), number)
 
-    writer = frames.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if drain else writer).start()
+    query = frames.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    if drain:
+        query.processAllAvailable()
+        query.stop()
+    return query
