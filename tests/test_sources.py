@@ -112,3 +112,19 @@ def test_exit_codes(capsys):
     with pytest.raises(SystemExit) as e:
         cli.main(["video", "--drop-policy", "bad"])
     assert e.value.code == 2
+
+
+def test_api(spark, folder, tmp_path):
+    from frametide.api import TiledDetector
+
+    npy_frames(tmp_path / "clip", 4)
+    with TiledDetector(BrightBlocks(), spark, patch_size=64, min_overlap=16, resize=(96, 64)) as d:
+        out = d.predict_image(str(folder), str(tmp_path / "out"), save_json=True, save=True)
+        assert {os.path.basename(k): len(v) for k, v in out.items()} == {"a.png": 0, "b.PNG": 1}
+        assert sorted(os.listdir(tmp_path / "out")) == ["a.png", "b.png", "detections.json"]
+        drawn = images.read_images(spark, str(tmp_path / "out")).collect()[1]
+        assert np.frombuffer(drawn.data, np.uint8).reshape(64, 96, 3)[16, 32].tolist() == [0, 0, 255]
+        image = np.zeros((64, 96, 3), np.uint8)
+        image[16:32, 32:48] = 255
+        assert d.predict(image)[0][:4] == [32.0, 16.0, 48.0, 32.0] and d.predict(image, classes=[2]) == []
+        assert d.predict_video(str(tmp_path / "clip"), resize=None, num_frames=3).count() == 3
