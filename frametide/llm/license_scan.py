@@ -25,7 +25,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.llm.common import indices, let, phrase_words, table
+from frametide.llm.common import let, phrase_words, table
 
 SHINGLE = 5
 MIN_CONTAINMENT = 0.8
@@ -63,15 +63,14 @@ def words_of(text: str) -> list[str]:
     return [w for w in re.split("[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", lowered) if w]
 
 
-def _shingle_hashes(words: Column, width: int) -> Column:
-    """Hashes of the runs of ``width`` words, in place order."""
+def _word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
-    def runs(h: Column) -> Column:
-        return F.when(F.size(h) >= width, F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width))))).otherwise(
-            F.array().cast("array<bigint>")
-        )
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
+def _shingle_hashes(h: Column, width: int) -> Column:
+    """Hashes of the runs of ``width`` words, in place order; ``h``: the words' hashes, a variable."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(width))))
+    return F.when(F.size(h) >= width, runs).otherwise(F.array().cast("array<bigint>"))
 
 
 def _bands(shingles: Column) -> Column:
@@ -101,7 +100,8 @@ def _template_rows(spark: SparkSession, templates: dict[str, str]) -> tuple[list
     out = []
     for width in sorted({w for _, _, w in rows}):
         own = [(name, words) for name, words, w in rows if w == width]
-        df = spark.createDataFrame(own, "name string, words array<string>").select("name", F.array_distinct(_shingle_hashes(F.col("words"), width)).alias("s"))
+        df = spark.createDataFrame(own, "name string, words array<string>").select("name", _word_hashes(F.col("words")).alias("h"))
+        df = df.select("name", F.array_distinct(_shingle_hashes(F.col("h"), width)).alias("s"))
         out += [(r["name"], width, len(r["s"]), r["s"], r["bands"]) for r in df.select("name", "s", _bands(F.col("s")).alias("bands")).collect()]
     by: dict[tuple[int, int], list[tuple]] = defaultdict(list)
     for row in out:
@@ -117,12 +117,22 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
     spark = docs.sparkSession
     rows, by_size = _template_rows(spark, templates)
     widths = sorted({w for _, w, _, _, _ in rows})
-    slim = docs.select(F.col(id_col).alias("doc_id"), phrase_words(F.col(text)).alias("words"))
-    # places whose shingle is in a template, for each width; texts without any are done
-    hashed = slim.select("doc_id", *(_shingle_hashes(F.col("words"), w).alias(f"s{w}") for w in widths))
     known = {w: sorted({x for _, v, _, s, _ in rows if v == w for x in s}) for w in widths}
+
+    def shingled(h: Column) -> Column:
+        return F.struct(*(_shingle_hashes(h, w).alias(f"s{w}") for w in widths))
+
+    def any_known(x: Column) -> Column:
+        found = F.lit(False)
+        for w in widths:
+            found = found | F.arrays_overlap(x[f"s{w}"], F.lit(known[w]))
+        return found
+
+    # One generator per text, so that its shingles are computed once; it yields nothing for the many texts that are done.
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    one = F.filter(F.array(let(_word_hashes(phrase_words(F.col("text"))), shingled)), any_known)
+    hashed = slim.select("doc_id", F.explode(one).alias("x")).select("doc_id", *(F.col(f"x.s{w}").alias(f"s{w}") for w in widths))
     placed = hashed.select("*", *(_places(F.col(f"s{w}"), known[w]).alias(f"p{w}") for w in widths))
-    placed = placed.filter(" or ".join(f"size(p{w}) > 0" for w in widths))
 
     def windows(w: int, n: int) -> Column:
         """Starts of the windows of ``n`` shingles, a step apart, that hold a known place; also the last window of a text."""
