@@ -5,8 +5,8 @@ piece is a sequence of its own, of a power-of-two length, so no sequence crosses
 are formed from one bucket (one length) at a time: :func:`write_buckets` lays the pieces out by length.
 
 Documents are encoded word by word with a bounded memory of known words, which gives the tokenizer's own ids: its model
-works on one pre-token at a time. Texts with characters outside the plain set go through the tokenizer's normalizer and
-the full Unicode pattern first, and texts that hold a special token through the tokenizer itself.
+works on one pre-token at a time. Texts with characters outside the plain set go through the tokenizer's own normalizer and
+pre-tokenizer, and texts that hold a special token through the tokenizer as a whole.
 
 Defined results: a null or empty text is the end id alone, one piece of length one; repeated rows and ids give separate
 sequences; a null id is kept; an empty table gives no pieces; other columns are not read.
@@ -27,55 +27,57 @@ from frametide.llm.common import table
 
 MAX_TOKENS = 2048
 END_ID = 1
-#: Known words per Python worker; beyond this the memory starts afresh. It bounds memory, not results.
-KNOWN_WORDS = 200_000
+#: Known words of each kind per Python worker; beyond this the memory starts afresh. It bounds memory, not results.
+KNOWN_WORDS = 300_000
 
-# How the tokenizer file splits a normalized text; on plain Latin text, the same with explicit classes.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# How the tokenizer file splits a normalized text, for lower-case ASCII and Latin-1 letters.
 PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 NOT_PLAIN = re.compile("[^\t-\r -~ß-öø-ÿ]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes a byte as a letter: printable Latin-1 stands for itself, others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Known(dict):
+    """Ids of pre-tokens, found as they are first asked for. ``spelled``: keys are in byte letters already."""
+
+    def __init__(self, model, spelled: bool) -> None:
+        self.tokenize, self.letters, self.spelled = model.tokenize, _byte_letters(), spelled
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        spelled = word if self.spelled or word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = b"".join(t.id.to_bytes(4, "little") for t in self.tokenize(spelled))
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.normalize = self.tokenizer.normalizer.normalize_str
-        self.split = regex.compile(SPLIT)
+        self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.known: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        plain = text.lower()
-        if NOT_PLAIN.search(plain):
-            return self.split.findall(self.normalize(text))
-        return PLAIN_SPLIT.findall(plain)
-
-    def learn(self, words: list[str]) -> None:
-        """Afterwards all of ``words`` are known."""
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        new = list(set(words).difference(self.known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, dtype="<u4").tobytes()
+        self.plain, self.other = _Known(self.tokenizer.model, False), _Known(self.tokenizer.model, True)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.special.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = self.words(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.known.__getitem__, words))
+        lowered = text.lower()
+        if NOT_PLAIN.search(lowered):
+            return b"".join([self.other[w] for w, _ in self.split(self.normalize(text))])
+        return b"".join(map(self.plain.__getitem__, PLAIN_SPLIT.findall(lowered)))
 
 
 def pieces(n: int, longest: int = MAX_TOKENS) -> list[int]:
