@@ -19,6 +19,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: A host is rejected when the shrunk share of its documents that fail a rule is above this.
 MAX_HOST_RATE = 0.5
+#: The prior weighs at least as much as so many documents, so that one failure doesn't reject a host.
+LEAST_PRIOR = 2.0
 SYMBOLS = "#*$%&|<>"
 
 
@@ -103,24 +105,24 @@ def host_verdicts(judged: DataFrame, host: str, failed: str) -> DataFrame:
     """One row per host: ``host, n_docs, n_failed, host_rate, host_ok``. ``host_rate`` is shrunk by a beta prior.
 
     The prior's mean and strength come from the hosts' rates by moments: mean m and variance v of the rates give
-    a + b = m (1 - m) / v - 1, at least 1. Only this one row of prior figures reaches the driver.
+    a + b = m (1 - m) / v - 1, at least ``LEAST_PRIOR``. Only this one row of prior figures reaches the driver.
     """
     hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
     hosts = hosts.withColumn("rate", F.col("n_failed") / F.col("n_docs"))
     prior = hosts.agg(F.avg("rate").alias("m"), F.var_pop("rate").alias("v")).first()
     m, v = prior["m"] or 0.0, prior["v"] or 0.0
-    strength = max(1.0, m * (1 - m) / v - 1) if v > 0 else 1.0
+    strength = max(LEAST_PRIOR, m * (1 - m) / v - 1) if v > 0 else LEAST_PRIOR
     shrunk = (F.col("n_failed") + m * strength) / (F.col("n_docs") + strength)
     return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (F.col("host").isNull() | (shrunk <= MAX_HOST_RATE)).alias("host_ok"))
 
 
-def _with_verdicts(judged: DataFrame, host: str, failed: str) -> DataFrame:
-    """``judged`` and ``host_rate, host_ok``. Hosts are few against documents, and no aggregate stands over the join,
-    so a hot host is split by AQE when the verdicts are too many to broadcast."""
-    verdicts = host_verdicts(judged, host, failed).select(
-        F.col("host").alias("verdict_host__"), F.col("host_rate").alias("host_rate__"), F.col("host_ok").alias("host_ok__")
-    )
-    return judged.join(verdicts, judged[host] == F.col("verdict_host__"), "left").drop("verdict_host__")
+def _with_verdicts(judged: DataFrame, host: str, failed: str) -> tuple[DataFrame, str, str]:
+    """``judged`` with the host's rate and verdict, and the names of these two columns. Verdicts are stored
+    first, so Catalyst broadcasts them by their true size; where they are too many, no aggregate stands over the join and AQE splits a
+    hot host."""
+    key, rate, ok = (free_name(judged, x) for x in ("verdict_host__", "host_rate__", "host_ok__"))
+    verdicts = host_verdicts(judged, host, failed).select(F.col("host").alias(key), F.col("host_rate").alias(rate), F.col("host_ok").alias(ok))
+    return judged.join(verdicts, judged[host] == F.col(key), "left").drop(key), rate, ok
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -130,10 +132,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", host: str
     stats, _ = written(
         measures(slim).select("doc_id", "host", "m.*", base_failed(m).alias("base_failed"), any_failed(m).alias("any_failed")), "quality"
     )
-    return _with_verdicts(stats, "host", "any_failed").select(
+    joined, rate, ok = _with_verdicts(stats, "host", "any_failed")
+    return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce("host_ok__", F.lit(True))).alias("kept"),
-        F.col("host_rate__").alias("host_rate"),
+        (~F.col("base_failed") & F.coalesce(ok, F.lit(True))).alias("kept"),
+        F.col(rate).alias("host_rate"),
     )
 
 
@@ -144,7 +147,8 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
     m = F.col(with_m.columns[-1])
     base, bad = free_name(docs, "base_failed__"), free_name(docs, "any_failed__")
     judged, _ = written(with_m.select(*columns, base_failed(m).alias(base), any_failed(m).alias(bad)), "quality-docs")
-    return _with_verdicts(judged, host, bad).filter(~F.col(base) & F.coalesce("host_ok__", F.lit(True))).select(*columns)
+    joined, _, ok = _with_verdicts(judged, host, bad)
+    return joined.filter(~F.col(base) & F.coalesce(ok, F.lit(True))).select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +181,7 @@ WITH d AS (
 ), h AS (
   SELECT source, count(*) AS n, count(*) FILTER (WHERE bad) AS f FROM k GROUP BY source
 ), p AS (
-  SELECT mm AS m, CASE WHEN v > 0 THEN greatest(1.0, mm * (1 - mm) / v - 1) ELSE 1.0 END AS s
+  SELECT mm AS m, CASE WHEN v > 0 THEN greatest(2.0, mm * (1 - mm) / v - 1) ELSE 2.0 END AS s
   FROM (SELECT avg(f / n) AS mm, var_pop(f / n) AS v FROM h)
 ), hv AS (SELECT source, (f + m * s) / (n + s) <= 0.5 AS ok FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
