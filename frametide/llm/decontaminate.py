@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from frametide.llm.common import free_name, indices, let, phrase_words, table, written
+from frametide.llm.common import free_name, indices, let, phrase_words, scratch_path, scratch_scope, table, written
 
 WINDOW = 10
 ANCHORS = 2
@@ -106,14 +106,18 @@ def _hit_places(words: Column, item: Column, shift: Column, window: int) -> Colu
 
 def _candidates(slim: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
     """``doc_key, found``: per document with a surviving alignment, its ``(item_id, item_words, shift)``. ``slim``: doc_id, text."""
-    wanted, _ = written(item_rows(items, item_id, item_text), "items")
-    vocabulary, _ = written(wanted.select(F.explode("item_words").alias("term")).distinct(), "vocabulary")
-    counts, _ = written(build_index(slim, "doc_id", "text", vocabulary).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
-    anchored, _ = written(anchors(wanted, counts, window), "anchors")
-    terms, _ = written(anchored.select("term").distinct(), "anchor-terms")
-    index, _ = written(build_index(slim, "doc_id", "text", terms), "postings")
-    found = alignments(index, anchored).join(wanted, "item_key")
-    return written(found.groupBy("doc_key").agg(F.collect_set(F.struct("item_id", "item_words", "shift")).alias("found")), "candidates")[0]
+    path = scratch_path(slim.sparkSession, "candidates")
+    with scratch_scope(slim.sparkSession):
+        wanted, _ = written(item_rows(items, item_id, item_text), "items")
+        vocabulary, _ = written(wanted.select(F.explode("item_words").alias("term")).distinct(), "vocabulary")
+        counts, _ = written(build_index(slim, "doc_id", "text", vocabulary).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
+        anchored, _ = written(anchors(wanted, counts, window), "anchors")
+        terms, _ = written(anchored.select("term").distinct(), "anchor-terms")
+        index, _ = written(build_index(slim, "doc_id", "text", terms), "postings")
+        found = alignments(index, anchored).join(wanted, "item_key")
+        found = found.groupBy("doc_key").agg(F.collect_set(F.struct("item_id", "item_words", "shift")).alias("found"))
+        found.write.parquet(path)
+    return slim.sparkSession.read.schema(found.schema).parquet(path)
 
 
 def _report(words: Column, found: Column, window: int) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.llm.common import free_name, table, written
+from frametide.llm.common import free_name, scratch_path, scratch_scope, table, written
 from frametide.llm.components import components
 
 SHINGLE = 4
@@ -243,14 +243,24 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.unionByName(_by_key(balls).mapInArrow(_chains, "a long, b long"))
 
 
+MEMBERS = "fp long, first long, root long"
+
+
+def _members(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Each fingerprint class with the root of its component; a class without a link is its own."""
+    return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` per document, and ``text_hash``; ``fp`` as a signed long."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
     rows, _ = written(slim.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long"), "fingerprints")
     classes, _ = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    roots = components(links(classes))
-    member = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    member, _ = written(member, "members")
+    path = scratch_path(docs.sparkSession, "members")
+    with scratch_scope(docs.sparkSession):
+        roots = components(links(classes))
+        _members(classes, roots).write.parquet(path)
+    member = docs.sparkSession.read.schema(MEMBERS).parquet(path)
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
     final = member.join(smallest, "root").select("fp", "component_id")
     return rows.join(final, "fp").select("doc_id", "fp", "component_id", "text_hash")
