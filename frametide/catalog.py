@@ -410,7 +410,7 @@ def queue_depth_sample(spark, sf):
 @query(
     "WITH d AS (SELECT source_idx AS frame_idx FROM frames WHERE source_idx % 7 = 3), r AS (SELECT source_idx AS frame_idx, t_ms + 40 + source_idx % 13 AS result_ms FROM frames), "
     "k AS (SELECT source_idx AS frame_idx, source_idx * 2 AS source_idx, t_ms AS dispatch_ms, source_idx % 5 AS backlog FROM frames WHERE source_idx % 10 > 0) "
-    "SELECT r.frame_idx, coalesce(k.source_idx, r.frame_idx) AS source_idx, CAST(coalesce(k.backlog, 0) AS BIGINT) AS dispatch_backlog, r.result_ms - k.dispatch_ms AS dispatch_to_result_ms "
+    "SELECT r.frame_idx, coalesce(k.source_idx, r.frame_idx) AS source_idx, CAST(coalesce(k.backlog, 0) AS BIGINT) AS dispatch_backlog, CAST(r.result_ms - k.dispatch_ms AS DOUBLE) AS dispatch_to_result_ms "
     "FROM r LEFT JOIN k ON k.frame_idx = r.frame_idx WHERE r.frame_idx NOT IN (SELECT frame_idx FROM d) ORDER BY r.frame_idx LIMIT 500",
     "frames",
 )
@@ -473,12 +473,13 @@ MESSAGE_SQL = """WITH p AS (SELECT seq, device, line, string_split(trim(line), '
 
 
 @query(
-    MESSAGE_SQL + "SELECT seq, fields, CASE WHEN good THEN f END AS frame_idx, CASE WHEN good THEN total END AS total, CASE WHEN good THEN inference END AS inference, CASE WHEN good THEN nms END AS nms, CAST(CASE WHEN good THEN len(x) END AS INT) AS n_boxes, NOT good AS malformed FROM m",
+    MESSAGE_SQL + "SELECT seq, fields, CASE WHEN good THEN f ELSE -1 END AS frame_idx, CASE WHEN good THEN total END AS total, CASE WHEN good THEN inference END AS inference, CASE WHEN good THEN nms END AS nms, CAST(CASE WHEN good THEN len(x) ELSE -1 END AS INT) AS n_boxes, NOT good AS malformed FROM m",
     "messages",
 )
 def parse_messages(spark, sf):
     rows = view(spark, sf, "messages").select("seq", text.parsed_message(F.col("line")).alias("m")).select("seq", "m.*")
-    return rows.select("seq", "fields", "frame_idx", "total", "inference", "nms", F.when(F.col("boxes").isNotNull(), F.size("boxes")).alias("n_boxes"), "malformed")
+    numbers = {"frame_idx": F.coalesce("frame_idx", F.lit(-1)), "n_boxes": F.when(F.col("boxes").isNotNull(), F.size("boxes")).otherwise(-1)}
+    return rows.withColumns(numbers).drop("boxes")
 
 
 @query(

@@ -105,5 +105,5 @@ def emission(results: DataFrame, dispatched: DataFrame, dropped: DataFrame) -> D
     alive = results.join(dropped.select("frame_idx"), "frame_idx", "left_anti").join(known, "frame_idx", "left")
     return alive.select(
         "frame_idx", F.coalesce("source_idx", "frame_idx").alias("source_idx"), F.coalesce("backlog", F.lit(0)).cast("long").alias("dispatch_backlog"),
-        (F.col("result_ms") - F.col("dispatch_ms")).alias("dispatch_to_result_ms"),
+        (F.col("result_ms") - F.col("dispatch_ms")).cast("double").alias("dispatch_to_result_ms"),
     )
