@@ -41,7 +41,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKS = frozenset(
     "ad ads advert adverts advertisement adsense banner promo promotion promoted sponsor sponsored menu nav navbar navigation breadcrumb "
     "breadcrumbs sidebar sidebars widget footer masthead comment comments commentlist disqus respond reply replies notice notices cookie cookies consent "
-    "gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager "
+    "alert gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended pagination pager "
     "toolbar search complementary contentinfo disclaimer paywall".split()
 )
 #: A class that begins so (with-sidebar, no-ads) describes the layout around the main text.
@@ -55,7 +55,8 @@ WORDS = re.compile(r"[a-z]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str, whole: bool = False) -> bool:
+    """Whether a class, id or role, or hidden content, marks boilerplate; ``whole``: only by a class that is such a word itself."""
     if not attributes or attributes.isspace():
         return False
     for m in ATTRIBUTE.finditer(attributes):
@@ -64,7 +65,7 @@ def _marked(attributes: str) -> bool:
             return True
         if name in ("class", "id", "role"):
             for token in value.split():
-                words = WORDS.findall(token)
+                words = [token] if whole else WORDS.findall(token)
                 if words and words[0] not in LAYOUT and not MARKS.isdisjoint(words):
                     return True
     return bool(HIDDEN_STYLE.search(attributes))
@@ -113,13 +114,11 @@ def lines_of(page: str) -> tuple[list[str], list[str]]:
                         pass
                     if not dropped:
                         gap_here()
-                elif name in ("body", "html", "article", "main") and name in open_:
-                    dropped.clear()  # a container that was never closed ends with the element around it
-                    gap_here()
-                else:
                     continue
-                if name not in ("article", "main"):
+                if name not in KEPT or name not in open_:
                     continue
+                dropped.clear()  # a container that was never closed ends with the element around it
+                gap_here()
             if name in BLOCKS:
                 end_line()
             if name in open_:
@@ -149,7 +148,7 @@ def lines_of(page: str) -> tuple[list[str], list[str]]:
             if name not in ("p", "li", "dt", "dd", "tr", "td", "th") or name == dropped[0]:
                 dropped.append(name)
             continue
-        boilerplate = name in ASIDE or name == "header" and not depth or name not in KEPT and _marked(m[3])
+        boilerplate = name in ASIDE or name == "header" and not depth or (name not in KEPT and _marked(m[3]) or name == "article" and depth > 0 and _marked(m[3], whole=True))
         if boilerplate:
             gap_here()
             dropped.append(name)

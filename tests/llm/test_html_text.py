@@ -21,6 +21,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ("<div id=content><h1>Title</h1><p>A paragraph that is long enough to be the text of this page.</p></div>", "Title A paragraph that is long enough to be the text of this page."),
         ("<article><p>Ok.</p></article>", "Ok."),
         ("<article></article>", ""),
+        ("<article class='post comments-open'><p>Text.</p><article class='comment'><p>No.</p></article><p>More.</p></article>", "Text. More."),
         ("<article><p>a &lt;b&gt; &#233;&eacute; &nbsp; c</p></article>", "a <b> éé c"),
         ("<article><p>x<!-- <p>gone</p> -->y</p></article>", "xy"),
         ("<article><table><tr><td>1</td><td>2</td></tr></table><ul><li>a</li><li>b</li></ul></article>", "1 2 a b"),

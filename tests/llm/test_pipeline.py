@@ -54,7 +54,7 @@ def test_oracle_sql_of_operators(spark, sf):
     from test_catalog import plain
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name, sql in registry.ORACLE_SQL.items():
         got = registry.QUERIES[name](spark, sf)
