@@ -510,7 +510,7 @@ def batch_assign(spark, sf):
     return D.batch_assign(patches, 8).select("frame_idx", "patch_id", "batch", "slot", "padding")
 
 
-# What SQL can't express: pixels, and a streaming query.
+# Pixels, a streaming query and a document.
 
 
 def _pixel_frames(spark, sf):
@@ -522,7 +522,12 @@ def _pixel_frames(spark, sf):
     return grid.selectExpr("source_idx", "w", "h", "channels", f"{hexed} AS data")
 
 
-@query(None)
+@query(
+    "WITH g AS (SELECT source_idx, CAST(96 + source_idx % 3 * 32 AS INT) AS w, CAST(64 + source_idx % 2 * 32 AS INT) AS h FROM frames), "
+    "c AS (SELECT source_idx, source_idx * 16 % (w - 32) // 16 * 16 AS x, source_idx * 48 % (h - 32) // 16 * 16 AS y FROM g), o AS (SELECT * FROM (VALUES (0, 0, 0), (1, 0, 16), (2, 16, 0), (3, 16, 16)) AS v(rank, dx, dy)) "
+    "SELECT source_idx AS frame_idx, rank, CAST(x + dx AS DOUBLE) AS x1, CAST(y + dy AS DOUBLE) AS y1, CAST(x + dx + 16 AS DOUBLE) AS x2, CAST(y + dy + 16 AS DOUBLE) AS y2, 224e0 / 255e0 AS conf, CAST(0 AS INT) AS cls FROM c, o",
+    "frames",
+)
 def detect_images(spark, sf):
     """Boxes of small frames made from events."""
     from frametide.detector import BrightBlocks
@@ -533,7 +538,7 @@ def detect_images(spark, sf):
     return detect(frames, BrightBlocks(), Settings(patch_size=64, min_overlap=16), key="frame_idx")
 
 
-@query(None)
+@query(_policy_sql("drop_oldest", 4), "arrivals")
 def stream_admission(spark, sf):
     """The admission policy as a streaming query over the event log, drained."""
     import tempfile
@@ -547,7 +552,7 @@ def stream_admission(spark, sf):
     live = spark.readStream.schema(events.schema).parquet(f"{base}/events")
     q = admit(live, "drop_oldest", 4).writeStream.option("checkpointLocation", f"{base}/state").format("parquet").trigger(availableNow=True).start(f"{base}/out")
     q.awaitTermination()
-    return spark.read.schema(P.OUTCOME).parquet(f"{base}/out")
+    return spark.read.schema(P.OUTCOME).parquet(f"{base}/out").select("stream_id", "source_idx", "outcome", "t")
 
 
 @query(None)

@@ -18,6 +18,9 @@ from frametide.functions.text import POLICIES
 
 OUTCOME = "stream_id long, source_idx long, frame_idx long, outcome string, t long"
 
+#: Of the pandas frames that carry outcomes; a dropped frame has no frame index.
+TYPES = {"stream_id": "int64", "source_idx": "int64", "frame_idx": "Int64", "outcome": "object", "t": "int64"}
+
 
 @dataclass
 class Admission:
@@ -87,7 +90,7 @@ def replay(events: DataFrame, policy: str, cap: int) -> DataFrame:
                 if s != stream:
                     stream, state = s, Admission(policy, cap)
                 out += [(s, *x, t) for x in (state.complete(i) if not first else state.arrive(i))]
-            yield pd.DataFrame(out, columns=["stream_id", "source_idx", "frame_idx", "outcome", "t"]).astype({"frame_idx": "Int64"})
+            yield pd.DataFrame(out, columns=["stream_id", "source_idx", "frame_idx", "outcome", "t"]).astype(TYPES)
 
     order = F.when(F.col("kind") == "completion", 0).otherwise(1).alias("first")
     rows = events.select("stream_id", "t", order, "source_idx").repartition("stream_id").sortWithinPartitions("stream_id", "t", "first", "source_idx")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from frametide.operators.policy import OUTCOME, Admission
+from frametide.operators.policy import OUTCOME, TYPES, Admission
 
 
 def admit(events: DataFrame, policy: str, cap: int) -> DataFrame:
@@ -32,6 +32,6 @@ def admit(events: DataFrame, policy: str, cap: int) -> DataFrame:
             out += [(key[0], *x, r.t) for x in decided]
         held = (stream.next_emit, stream.dispatched, stream.source, stream.done, stream.evicted, stream.frame_of)
         state.update((pickle.dumps(held),))
-        yield pd.DataFrame(out, columns=["stream_id", "source_idx", "frame_idx", "outcome", "t"]).astype({"frame_idx": "Int64"})
+        yield pd.DataFrame(out, columns=["stream_id", "source_idx", "frame_idx", "outcome", "t"]).astype(TYPES)
 
     return events.groupBy("stream_id").applyInPandasWithState(run, OUTCOME, "state binary", "append", GroupStateTimeout.NoTimeout)
