@@ -122,6 +122,7 @@ def _with_verdicts(judged: DataFrame, host: str, failed: str) -> tuple[DataFrame
     hot host."""
     key, rate, ok = (free_name(judged, x) for x in ("verdict_host__", "host_rate__", "host_ok__"))
     verdicts = host_verdicts(judged, host, failed).select(F.col("host").alias(key), F.col("host_rate").alias(rate), F.col("host_ok").alias(ok))
+    verdicts, _ = written(verdicts, "host-verdicts")
     return judged.join(verdicts, judged[host] == F.col(key), "left").drop(key), rate, ok
 
 
