@@ -221,13 +221,13 @@ def by_record(chunk_rows: DataFrame) -> DataFrame:
 
 def resolved(records_read: DataFrame) -> DataFrame:
     """``records_read``, each revisit with the length and digest of the payload that it refers to."""
+    columns = ("record_id", "record_type", "refers_to", "payload_bytes", "payload_digest")
     full = records_read.filter("record_type = 'response'").groupBy(F.col("record_id").alias("target"))
     full = full.agg(F.max(F.struct("payload_bytes", "payload_digest")).alias("full"))
-    joined = records_read.join(full, records_read["refers_to"] == full["target"], "left")
-    return joined.select(
-        "record_id", "record_type", "refers_to",
-        F.coalesce("full.payload_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("full.payload_digest", "payload_digest").alias("payload_digest"),
-    )
+    # only records that refer to another are joined: the others share the null key
+    again = records_read.filter("refers_to is not null").join(full, F.col("refers_to") == F.col("target"), "left")
+    again = again.withColumns({c: F.coalesce(f"full.{c}", c) for c in columns[3:]})
+    return records_read.filter("refers_to is null").select(*columns).unionByName(again.select(*columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,3 +240,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.expr(f"try_cast(substring({name}, {len(ID) + 1}) AS bigint)")
 
     return out.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+ORACLE = """
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN m END AS refers_to
+FROM (SELECT page_id, h, m, strlen(h) >= 1000 AND m IS NOT NULL AND page_id IS DISTINCT FROM m AS again
+      FROM (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS m FROM pages) AS a) AS b
+"""
