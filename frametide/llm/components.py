@@ -27,13 +27,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        done, old = path, edges
+        before = path
         edges, path = written(small.select("e.*").filter("u > v").distinct(), "links")
         # stars: every node has one link, and no root has a link to a smaller node
         roots = edges.select(F.col("v").alias("u")).distinct()
         state = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("nodes")).first()
         settled = state["n"] == state["nodes"] and roots.join(edges, "u", "left_semi").isEmpty()
-        del old
-        dropped(spark, done)
+        dropped(spark, before)
         if settled:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("u").alias("node"), F.col("u").alias("root")))
