@@ -557,7 +557,8 @@ def stream_admission(spark, sf):
 
 @query(None)
 def latency_trace_document(spark, sf):
-    """The trace of a run as one JSON document."""
-    queue = view(spark, sf, "queue_runs").orderBy("run", "frames_written").limit(1)
+    """The trace of a run as one JSON document; its counters are the sums over all parts of the run."""
+    sums = [F.sum(c).alias(c) for c in ("frames_seen", "frames_written", "frames_dropped")]
+    queue = view(spark, sf, "queue_runs").agg(*sums, F.max("input_fps_cap").alias("input_fps_cap"), F.max("loader_fps").alias("loader_fps"))
     named = queue.selectExpr("*", "true AS bounded_latency", "4 AS max_in_flight", "'drop_oldest' AS drop_policy")
     return M.latency_trace_document(view(spark, sf, "latency"), M.queue_control(named))

@@ -141,7 +141,17 @@ def latency_trace_document(records: DataFrame, queue: DataFrame) -> DataFrame:
     metrics = ("dispatch_to_result_ms", "dispatch_to_write_ms", "dispatch_backlog", "stale_frames", "stale_ms")
     buckets = [F.struct(*summary(F.when(bucket(F.col("dispatch_backlog")) == n, F.col("dispatch_to_write_ms")))).alias(n) for n, _, _ in BUCKETS]
     one = records.agg(*(summary_struct(F.col(m)).alias(m) for m in metrics), *buckets)
-    both = one.join(F.broadcast(queue.limit(1)))  # one row each
-    control = F.struct("bounded_latency", "max_in_flight", "drop_policy", "input_fps_cap", "fps_reference", F.col("attempted").alias("frames_seen"), "frames_written", "frames_dropped", F.col("drop_rate").alias("drop_rate_percent"), "retain_ratio", F.col("retained_fps").alias("retained_fps_estimate"))
+    q = queue.first()  # one row of counters
+    if q is None:
+        raise ValueError("the run has no counters")
+    kinds = queue.schema
+
+    def counter(name: str, alias: str | None = None) -> Column:
+        return F.lit(q[name]).cast(kinds[name].dataType).alias(alias or name)
+
+    control = F.struct(
+        *(counter(n) for n in ("bounded_latency", "max_in_flight", "drop_policy", "input_fps_cap", "fps_reference")), counter("attempted", "frames_seen"), counter("frames_written"),
+        counter("frames_dropped"), counter("drop_rate", "drop_rate_percent"), counter("retain_ratio"), counter("retained_fps", "retained_fps_estimate"),
+    )
     parts = {"queue_control": control, **{m: F.col(m) for m in metrics[:2]}, "queue_backlog_frames": F.col("dispatch_backlog"), "freshness_lag_frames": F.col("stale_frames"), "freshness_lag_ms": F.col("stale_ms"), "queue_conditioned_dispatch_to_write_ms": F.struct(*(n for n, _, _ in BUCKETS))}
-    return both.select(F.to_json(F.struct(F.struct(*(v.alias(k) for k, v in parts.items())).alias("summary")), {"ignoreNullFields": "false"}).alias("document"))
+    return one.select(F.to_json(F.struct(F.struct(*(v.alias(k) for k, v in parts.items())).alias("summary")), {"ignoreNullFields": "false"}).alias("document"))
