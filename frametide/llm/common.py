@@ -81,6 +81,21 @@ def _clean_own() -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def stretches(text, size: int, spaces) -> Iterator:
+    """``text`` (str or bytes) in parts of about ``size``, cut before white space, so that no word is cut.
+
+    ``spaces``: a compiled pattern of one white-space character. A stretch without any runs on to the next one.
+    """
+    at = 0
+    while len(text) - at > size:
+        cut = spaces.search(text, at + size)
+        if not cut:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, also where ``body`` uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

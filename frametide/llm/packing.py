@@ -23,15 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.llm.common import table
+from frametide.llm.common import stretches, table
 
 MAX_TOKENS = 2048
 END_ID = 1
 #: Known words of each kind per Python worker; beyond this the memory starts afresh. It bounds memory, not results.
 KNOWN_WORDS = 300_000
 
+#: Characters of a text that are split at once. Pre-tokens never hold white space, so cuts there change nothing.
+STRETCH = 1 << 20
+
 # How the tokenizer file splits a normalized text, for lower-case ASCII and Latin-1 letters.
 PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+BREAK = re.compile("[ \\t\\n\\r]")
 NOT_PLAIN = re.compile("[^\t-\r -~ß-öø-ÿ]")
 
 
@@ -74,6 +78,11 @@ class WordEncoder:
             return b""
         if self.special.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(text) > STRETCH:
+            return b"".join(map(self._encode, stretches(text, STRETCH, BREAK)))
+        return self._encode(text)
+
+    def _encode(self, text: str) -> bytes:
         lowered = text.lower()
         if NOT_PLAIN.search(lowered):
             return b"".join([self.other[w] for w, _ in self.split(self.normalize(text))])

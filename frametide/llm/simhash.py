@@ -22,6 +22,7 @@ through :func:`keep_one`.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.llm.common import free_name, scratch_path, scratch_scope, table, written
+from frametide.llm.common import free_name, scratch_path, scratch_scope, stretches, table, written
 from frametide.llm.components import components
 
 SHINGLE = 4
 SEED = 42
 MAX_BITS = 4
+#: Bytes of a text that are split into words at once.
+STRETCH = 1 << 20
+SPACE = re.compile(rb"[\t-\r ]")
 #: Larger buckets are linked by balls. It bounds the comparisons per row, not what is found.
 BUCKET = 64
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -43,23 +47,28 @@ GOLAY = 0b110001110101
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The text is hashed a stretch at a time, with the last words of one carried into the next."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = list(itertools.accumulate(map(len, words)))
-    ends = [e + i for i, e in enumerate(ends)]
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    n = min(shingle, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[n - 1 :])], dtype=np.uint64)
-    total = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 1 << 16):  # bounded memory for very long texts
-        part = hashes[at : at + (1 << 16)]
-        total += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int((np.left_shift(np.uint64(1), np.flatnonzero(2 * total > len(hashes)).astype(np.uint64))).sum(dtype=np.uint64))
+    total, n, carried = np.zeros(64, dtype=np.int64), 0, []
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    for part in stretches(raw, STRETCH, SPACE):
+        words = carried + part.split()
+        if len(words) < shingle:  # at the end of a short text, or of a stretch of white space
+            carried = words
+            continue
+        joined = b" ".join(words)
+        ends = [e + i for i, e in enumerate(itertools.accumulate(map(len, words)))]
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[shingle - 1 :])], dtype="<u8")
+        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+        carried = words[-(shingle - 1) :] if shingle > 1 else []
+    if not n and carried:
+        total += np.unpackbits(np.array([digest(b" ".join(carried), SEED)], dtype="<u8").view(np.uint8), bitorder="little")
+        n = 1
+    return int(np.left_shift(np.uint64(1), np.flatnonzero(2 * total > n).astype(np.uint64)).sum(dtype=np.uint64)) if n else 0
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

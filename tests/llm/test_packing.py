@@ -33,6 +33,13 @@ def test_odd_texts(encoder, text):
     assert encoder(text) == ids(text)
 
 
+@pytest.mark.parametrize("stretch", [1, 5, 40])
+def test_long_texts_by_stretches(encoder, monkeypatch, stretch):
+    monkeypatch.setattr(P, "STRETCH", stretch)
+    for text in ("it's  a   text\nof some words. Don't!", "no-break " * 9, "e \u0301x é\u0301 日本 語", "x" * 300, "a\u00a0b " * 20):
+        assert encoder(text) == ids(text)
+
+
 def test_a_full_memory_starts_afresh(monkeypatch):
     monkeypatch.setattr(P, "KNOWN_WORDS", 3)
     e = P.WordEncoder(PATH)

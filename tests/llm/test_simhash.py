@@ -49,6 +49,13 @@ def test_fingerprint(text):
     assert H.fingerprint(text) == brute_fp(text)
 
 
+@pytest.mark.parametrize("stretch", [1, 2, 7, 50])
+def test_long_texts_by_stretches(monkeypatch, stretch):
+    monkeypatch.setattr(H, "STRETCH", stretch)
+    for text in ("a bb ccc dddd eeeee ff g hhh", "  lead and   trail \n\n", "one", "one two three", "x" * 200 + " y z", " " * 99 + "a b c d e" + " " * 99, "\n".join(f"w{i}" for i in range(300))):
+        assert H.fingerprint(text) == brute_fp(text)
+
+
 def test_golay_code_is_perfect_and_neighbours_share_an_index():
     low, high, errors = H._golay_tables()
     assert len(set(errors.tolist())) == 2048 and max(bin(e).count("1") for e in errors.tolist()) == 3
