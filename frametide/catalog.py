@@ -194,6 +194,11 @@ def nms_per_class(spark, sf):
     return _kept(spark, sf, True)
 
 
+@query(NMS_SQL, "detections")
+def nms_crowded(spark, sf):
+    return D.nms_arrow(view(spark, sf, "detections"), 0.25, 0.45)
+
+
 def _after_nms(select: str) -> str:
     head, _, last = NMS_SQL.rpartition("\n     SELECT ")
     return f"{head}, kept AS (SELECT {last}) {select}"

@@ -38,6 +38,8 @@ def test_nms_against_greedy(spark):
             groups = [[b for b in own if b[5] == c] for c in range(3)] if per_class else [own]
             want = sorted((b for g in groups for b in greedy(g, 0.2, 0.45)), key=lambda b: (-b[4], *b[:4], b[5]))
             assert got.get(f, []) == want
+        columns = ["frame_idx", "rank", *D.BOX]
+        assert sorted(D.nms(df, 0.2, 0.45, per_class).select(*columns).collect()) == sorted(D.nms_arrow(df, 0.2, 0.45, per_class).select(*columns).collect())
 
 
 def test_nms_keeps_the_better_and_thresholds_are_strict(spark):
