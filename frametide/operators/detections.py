@@ -20,7 +20,7 @@ def stride_sample(frames: DataFrame, stride: int = 1, offset: int = 0, index: st
 
 def tile_frames(frames: DataFrame, patch: int, overlap: int, snap_to_edge: bool = False) -> DataFrame:
     """A row per frame and patch: the frame's columns and ``patch_id, x0, y0, x1, y1``. Tiling is a function of the row, so nothing moves."""
-    return frames.select("*", F.inline(geometry.tiles(F.col("w"), F.col("h"), patch, overlap, snap_to_edge)))
+    return frames.select("*", F.inline_outer(geometry.tiles(F.col("w"), F.col("h"), patch, overlap, snap_to_edge)))
 
 
 def offset_boxes(found: DataFrame, tiles: DataFrame, on: list[str]) -> DataFrame:
@@ -55,7 +55,8 @@ def nms(found: DataFrame, conf: float = CONF, iou: float = IOU, per_class: bool
     rows = boxes.select(*frame, kept.alias("k"))
     if per_class:
         rows = rows.groupBy(*frame).agg(F.array_sort(F.flatten(F.collect_list("k"))).alias("k"))
-    rows = rows.select(*frame, F.posexplode("k").alias("rank", "k"))
+    # every frame here keeps a box; the plain generator would add a filter on k's size and so fold twice
+    rows = rows.select(*frame, F.posexplode_outer("k").alias("rank", "k"))
     return rows.select(*frame, "rank", "k.x1", "k.y1", "k.x2", "k.y2", (-F.col("k.nc")).alias("conf"), "k.cls")
 
 
