@@ -37,7 +37,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ter
 
     Catalyst broadcasts ``terms`` when its stored size allows it and joins by shuffle beyond that.
     """
-    postings = keyed(docs, id_col, text).select("doc_key", F.posexplode("words").alias("pos", "term"))
+    # the outer generator, as the plain one would add a filter on the number of words and so split twice
+    postings = keyed(docs, id_col, text).select("doc_key", F.posexplode_outer("words").alias("pos", "term")).filter("term is not null")
     if terms is not None:
         postings = postings.join(terms, "term", "left_semi")
     return postings.select("term", "doc_key", "pos")
