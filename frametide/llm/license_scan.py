@@ -128,10 +128,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
             found = found | F.arrays_overlap(x[f"s{w}"], F.lit(known[w]))
         return found
 
-    # One generator per text, so that its shingles are computed once; it yields nothing for the many texts that are done.
+    # One generator per text, so that its shingles are computed once; most texts are done with its null. (The plain generator adds a
+    # filter on the array's size, and so computes it twice.)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     one = F.filter(F.array(let(_word_hashes(phrase_words(F.col("text"))), shingled)), any_known)
-    hashed = slim.select("doc_id", F.explode(one).alias("x")).select("doc_id", *(F.col(f"x.s{w}").alias(f"s{w}") for w in widths))
+    hashed = slim.select("doc_id", F.explode_outer(one).alias("x")).filter("x is not null").select("doc_id", *(F.col(f"x.s{w}").alias(f"s{w}") for w in widths))
     placed = hashed.select("*", *(_places(F.col(f"s{w}"), known[w]).alias(f"p{w}") for w in widths))
 
     def windows(w: int, n: int) -> Column:
