@@ -33,7 +33,7 @@ def lines(docs: DataFrame, id_col: str, text: str, site: str) -> DataFrame:
         F.col(id_col).alias("doc_id"),
         *_keys(F.col(id_col), F.col(text)),
         F.col(site).cast("string").alias("site"),
-        F.posexplode(F.split(text, "\n")).alias("pos", "line"),
+        F.posexplode_outer(F.split(text, "\n")).alias("pos", "line"),  # not the plain generator, whose added filter splits again
     )
     worded = F.size(F.array_remove(F.split("line", SPACE_RUN), "")) >= MIN_WORDS
     return own.filter(worded).select("doc_id", "k1", "k2", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("line"), "line").alias("h2"), "site")
