@@ -275,13 +275,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return rows.join(final, "fp").select("doc_id", "fp", "component_id", "text_hash")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with its own columns.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", find=near_duplicates) -> DataFrame:
+    """The document with the smallest id of each component that ``find`` gives, with its own columns.
 
     Rows that share that id and its text all stay, as do rows without an id: nothing tells which of them to prefer.
     """
     key, own = free_name(docs, "gone_id__"), free_name(docs, "gone_text__")
-    found = near_duplicates(docs, id_col, text)
+    found = find(docs, id_col, text)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key), F.col("text_hash").alias(own)).distinct()
     gone, _ = written(gone, "near-copies")
     return docs.join(gone, (docs[id_col].cast("long") == F.col(key)) & (F.xxhash64(docs[text]) == F.col(own)), "left_anti")
