@@ -3,8 +3,9 @@
 Markup is stripped into lines: a block tag ends a line, and a container of boilerplate (menus, headers, footers, sidebars,
 forms, notices, adverts, comments, scripts) leaves ``BLOCK`` empty lines in its place. The text lengths of each ``BLOCK``
 consecutive lines are summed; a region begins where the sums surge from nothing and ends where they dive back to it. A page
-that marks its article keeps all regions inside; of any other page the largest region stays, and each whose densest block
-reaches a share of the largest region's.
+that marks its article keeps all regions inside. Of any other page the largest region stays, with each of any length in the
+element around it or in a sibling like that one (a page's body counts only for what stands in it directly), each whose densest
+block reaches a share of the largest region's, and all between these. White space between tags is not a line.
 
 Defined results: a null or empty page has an empty text; a page without markup is one text; unclosed tags, a cut-off page
 and stray ``<`` are read as browsers do, as far as a scan without a tree can; very long pages are scanned in linear time;
@@ -25,7 +26,7 @@ from frametide.llm.common import table
 
 #: Lines in a block.
 BLOCK = 3
-#: Of the densest block of the largest region: what a region outside a marked article must reach.
+#: Of the densest block of the largest region: what a region outside a marked article and the largest region's container must reach.
 DENSITY = 0.35
 
 #: Elements whose content is never text: skipped up to their end tag.
@@ -71,12 +72,24 @@ def _marked(attributes: str, whole: bool = False) -> bool:
     return bool(HIDDEN_STYLE.search(attributes))
 
 
-def lines_of(page: str) -> tuple[list[str], list[str]]:
-    """Lines of the page, and lines inside article or main elements."""
+class Element:
+    """An element that holds lines ``start`` to ``end`` of the page."""
+
+    __slots__ = ("name", "attributes", "parent", "start", "end")
+
+    def __init__(self, name: str, attributes: str, parent: Element | None, start: int) -> None:
+        self.name, self.attributes, self.parent, self.start, self.end = name, " ".join(attributes.split()), parent, start, start
+
+
+def lines_of(page: str) -> tuple[list[str], list[str], list[Element], list[Element]]:
+    """Lines of the page, lines inside article or main elements; the page's elements, and the innermost one of each of its lines."""
     every: list[str] = []
     inside: list[str] = []
     line: list[str] = []
     open_: list[str] = []  # elements that are open, but paragraphs and other leaves
+    elements = [Element("html", "", None, 0)]  # the first is the page itself
+    around = [elements[0]]  # the page and the elements of open_
+    holders: list[Element] = []
     dropped: list[str] = []  # elements that are open inside boilerplate; the first is its container
     depth = 0  # of article and main
     at = 0
@@ -86,13 +99,17 @@ def lines_of(page: str) -> tuple[list[str], list[str]]:
         if line:
             text = " ".join(html.unescape("".join(line)).split())
             line.clear()
+            if not text:
+                return
             every.append(text)
+            holders.append(around[-1])
             if depth:
                 inside.append(text)
 
     def gap_here() -> None:
         end_line()
         every.extend(gap)
+        holders.extend(around[-1:] * BLOCK)
         if depth:
             inside.extend(gap)
 
@@ -124,6 +141,7 @@ def lines_of(page: str) -> tuple[list[str], list[str]]:
             if name in open_:
                 while open_:
                     top = open_.pop()
+                    around.pop().end = len(every)
                     if top in ("article", "main"):
                         depth -= 1
                     if top == name:
@@ -157,10 +175,31 @@ def lines_of(page: str) -> tuple[list[str], list[str]]:
             end_line()
         if name in ("article", "main", "body", "html", "section", "div"):
             open_.append(name)
+            elements.append(Element(name, m[3], around[-1], len(every)))
+            around.append(elements[-1])
             if name in ("article", "main"):
                 depth += 1
     end_line()
-    return every, inside
+    for element in around:
+        element.end = len(every)
+    return every, inside, elements, holders
+
+
+def beside(region: tuple[int, int, int, int], elements: list[Element], holders: list[Element]) -> bytearray:
+    """Marks the lines that share the container of the region, or stand in a sibling of it that is like it."""
+    start, end, _, _ = region
+    marks = bytearray(len(holders))
+    own = holders[start]
+    while own.end < end:
+        own = own.parent
+    if own.name in ("html", "body"):
+        for i, holder in enumerate(holders):
+            marks[i] = holder is own
+        return marks
+    for x in elements:
+        if x is own or x.parent is own.parent and x.name == own.name and (x.name == "section" or x.attributes == own.attributes):
+            marks[x.start : x.end] = b"\1" * (x.end - x.start)
+    return marks
 
 
 def regions(lines: list[str], block: int = BLOCK) -> list[tuple[int, int, int, int]]:
@@ -186,7 +225,7 @@ def regions(lines: list[str], block: int = BLOCK) -> list[tuple[int, int, int, i
 
 
 def main_text(page: str | None) -> str:
-    every, inside = lines_of(page or "")
+    every, inside, elements, holders = lines_of(page or "")
     marked = any(inside)
     lines = inside if marked else every
     found = regions(lines)
@@ -194,7 +233,9 @@ def main_text(page: str | None) -> str:
         return ""
     if not marked:
         best = max(found, key=lambda r: r[2])
-        found = [r for r in found if r is best or r[3] >= DENSITY * best[3]]
+        marks = beside(best, elements, holders)
+        kept = [i for i, r in enumerate(found) if r is best or r[3] >= DENSITY * best[3] or any(marks[j] and every[j] for j in range(r[0], r[1]))]
+        found = found[kept[0] : kept[-1] + 1]
     return " ".join(x for start, end, _, _ in found for x in lines[start:end] if x)
 
 

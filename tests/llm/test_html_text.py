@@ -39,6 +39,26 @@ def test_odd_pages(page, want):
     assert main_text(page) == want
 
 
+LONG = "".join(f"<p>{'word ' * 80}{i}</p>" for i in range(3))
+TEXT = " ".join(f"{'word ' * 80}{i}" for i in range(3))
+AD = "<div class=ad>buy</div>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div id=content>{LONG}{AD}<p>The end.</p></div>", f"{TEXT} The end."),
+        (f"<div>{LONG}\n</div>\n<div>\n<p>The end.</p>\n</div>", f"{TEXT} The end."),
+        (f"<body>{LONG}{AD}<div class=quote>So.</div>{AD}<p>The end.</p></body>", f"{TEXT} So. The end."),
+        (f"<div><section class=a>{LONG}</section>{AD}<section class=b><p>The end.</p></section></div>", f"{TEXT} The end."),
+        (f"<div><div class=part>{LONG}</div>{AD}<div class=part><p>The end.</p></div></div>", f"{TEXT} The end."),
+        (f"<body><div class=top>Home</div>{AD}<div id=content>{LONG}{AD}<p>The end.</p></div>{AD}<div class=low>Imprint</div></body>", f"{TEXT} The end."),
+    ],
+)
+def test_short_parts_of_unmarked_articles(page, want):
+    assert main_text(page) == want
+
+
 def test_synthetic_articles(spark, sf):
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
         article = re.search("<article>(.*)</article>", r.html, re.DOTALL)[1]
