@@ -412,6 +412,14 @@ def queue_depth_sample(spark, sf):
     return S.queue_depth_samples(_log(spark, sf))
 
 
+def _emitted(spark, sf):
+    frames = view(spark, sf, "frames")
+    results = frames.selectExpr("source_idx AS frame_idx", "t_ms + 40 + source_idx % 13 AS result_ms")
+    known = frames.filter("source_idx % 10 > 0").selectExpr("source_idx AS frame_idx", "source_idx * 2 AS source_idx", "t_ms AS dispatch_ms", "source_idx % 5 AS backlog")
+    dropped = frames.filter("source_idx % 7 = 3").selectExpr("source_idx AS frame_idx")
+    return S.emission(results, known, dropped)
+
+
 @query(
     "WITH d AS (SELECT source_idx AS frame_idx FROM frames WHERE source_idx % 7 = 3), r AS (SELECT source_idx AS frame_idx, t_ms + 40 + source_idx % 13 AS result_ms FROM frames), "
     "k AS (SELECT source_idx AS frame_idx, source_idx * 2 AS source_idx, t_ms AS dispatch_ms, source_idx % 5 AS backlog FROM frames WHERE source_idx % 10 > 0) "
@@ -420,11 +428,18 @@ def queue_depth_sample(spark, sf):
     "frames",
 )
 def ordered_emit(spark, sf):
-    frames = view(spark, sf, "frames")
-    results = frames.selectExpr("source_idx AS frame_idx", "t_ms + 40 + source_idx % 13 AS result_ms")
-    known = frames.filter("source_idx % 10 > 0").selectExpr("source_idx AS frame_idx", "source_idx * 2 AS source_idx", "t_ms AS dispatch_ms", "source_idx % 5 AS backlog")
-    dropped = frames.filter("source_idx % 7 = 3").selectExpr("source_idx AS frame_idx")
-    return S.ordered(S.emission(results, known, dropped), limit=500)
+    return S.ordered(_emitted(spark, sf), limit=500)
+
+
+@query(
+    "WITH d AS (SELECT source_idx AS frame_idx FROM frames WHERE source_idx % 7 = 3), r AS (SELECT source_idx AS frame_idx, t_ms + 40 + source_idx % 13 AS result_ms FROM frames), "
+    "k AS (SELECT source_idx AS frame_idx, source_idx * 2 AS source_idx, t_ms AS dispatch_ms, source_idx % 5 AS backlog FROM frames WHERE source_idx % 10 > 0) "
+    "SELECT r.frame_idx, coalesce(k.source_idx, r.frame_idx) AS source_idx, CAST(coalesce(k.backlog, 0) AS BIGINT) AS dispatch_backlog, CAST(r.result_ms - k.dispatch_ms AS DOUBLE) AS dispatch_to_result_ms "
+    "FROM r LEFT JOIN k ON k.frame_idx = r.frame_idx WHERE r.frame_idx NOT IN (SELECT frame_idx FROM d) ORDER BY r.frame_idx",
+    "frames",
+)
+def ordered_emit_all(spark, sf):
+    return S.ordered(_emitted(spark, sf))
 
 
 def _policy_sql(policy: str, cap: int) -> str:

@@ -50,3 +50,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_emission_is_registered_over_all_frames(spark, sf):
+    frames = catalog.view(spark, sf, "frames").filter("source_idx % 7 <> 3").count()
+    assert frames > 500 and catalog.QUERIES["ordered_emit_all"](spark, sf).count() == frames
+    assert catalog.QUERIES["ordered_emit"](spark, sf).count() == 500
