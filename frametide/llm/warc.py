@@ -32,8 +32,8 @@ READ = 1 << 18
 RECORDS_PER_FILE = 20_000
 #: Tasks that read archives at most; with more files each reads several.
 READ_TASKS = 20_000
-#: Longest header block that a reader accepts.
-HEADER_BYTES = 1 << 20
+#: Longest header block that a reader accepts, its long fields aside: of a field beyond ``FIELD_BYTES`` it holds the beginning only.
+HEADER_BYTES, FIELD_BYTES = 1 << 20, 1 << 16
 ID = "urn:frametide:page:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -110,10 +110,14 @@ class _Reader:
         self.held += part or b""
         return part is not None
 
-    def until(self, mark: bytes) -> bytes | None:
-        """Up to and with ``mark``; None at the end of the stream."""
+    def until(self, mark: bytes, shorten: bool = False) -> bytes | None:
+        """Up to and with ``mark``; None at the end of the stream. ``shorten``: a block beyond ``HEADER_BYTES`` loses the ends of its long fields."""
         looked = 0
         while (at := self.held.find(mark, max(0, looked - len(mark)))) < 0:
+            if shorten and len(self.held) > HEADER_BYTES:
+                first, *lines = self.held.split(b"\r\n")
+                lines = [x if len(x) <= FIELD_BYTES else x[:FIELD_BYTES] + x[-1:] * x.endswith(b"\r") for x in lines]
+                self.held = b"\r\n".join([first, *lines])
             looked = len(self.held)
             if looked > HEADER_BYTES:
                 raise ValueError("a WARC header block is too long")
@@ -144,7 +148,7 @@ def chunks(stream, chunk: int = CHUNK) -> Iterator[dict]:
             if not reader.more():
                 return
         reader.held = reader.held.lstrip(b"\r\n")
-        block = reader.until(b"\r\n\r\n")
+        block = reader.until(b"\r\n\r\n", shorten=True)
         if block is None:
             return
         fields = _fields(block)

@@ -63,3 +63,10 @@ def test_query(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = W.query(spark, sf).collect()
     assert {(r.page_id, r.payload_bytes, r.payload_digest) for r in got} == {(i, len(h.encode()), digest(h)) for i, h in pages.items()} and len(got) == len(pages)
+
+
+def test_very_long_url(spark, tmp_path):
+    rows = [(1, "http://" + "u" * 5_000_000, BIG, "d", "p"), (2, "v", "short", "d", "p"), (3, "http://" + "w" * (W.HEADER_BYTES + 1), None, "d", "p")]
+    W.write(spark.createDataFrame(rows, SCHEMA), f"file://{tmp_path}/w")
+    got = W.resolved(W.by_record(W.read(spark, f"file://{tmp_path}/w"))).collect()
+    assert {(r.record_id.removeprefix(W.ID), r.payload_bytes, r.payload_digest) for r in got} == {(str(i), len(t or ""), digest(t)) for i, _, t, _, _ in rows}
