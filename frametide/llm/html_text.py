@@ -285,12 +285,9 @@ def lines_of(page: str) -> tuple[list[Line], list[Element]]:
     return out, elements
 
 
-def beside(start: int, end: int, elements: list[Element], lines: list[Line]) -> bytearray:
-    """Marks the lines that share the container of the lines ``start`` to ``end``, or stand in a sibling of it that is like it."""
+def beside(own: Element, elements: list[Element], lines: list[Line]) -> bytearray:
+    """Marks the lines in the element ``own``, or in a sibling of it that is like it."""
     marks = bytearray(len(lines))
-    own = lines[start].holder
-    while own.end < end:
-        own = own.parent
     if own.name in ("html", "body"):
         for i, x in enumerate(lines):
             marks[i] = x.holder is own
@@ -356,14 +353,18 @@ def _unmarked(lines: list[Line], elements: list[Element]) -> list[Line]:
     if not found:
         return []
     best = max(found, key=lambda r: (r[2], -r[0]))
-    own = beside(best[0], best[1], elements, lines)
+    share: Counter[int] = Counter()
+    for x, w in zip(lines[best[0] : best[1]], weights[best[0] : best[1]]):
+        share[id(x.holder)] += w
+    most = max(share.values())
+    own = beside(next(x.holder for x in lines[best[0] : best[1]] if share[id(x.holder)] == most), elements, lines)
     held = bytearray(a and not x.marked and w > 0 and not m for a, x, w, m in zip(own, lines, weights, menus))
     kept = [r for r in found if r is best or r[3] >= DENSITY * best[3] or any(held[r[0] : r[1]])]
     keep = bytearray(held)
     for a, b, _, _ in kept:
         keep[a:b] = b"\1" * (b - a)
     first, last = keep.find(1), keep.rfind(1)
-    between = (a and not x.marked and not m for a, x, m in zip(weights[first:last], lines[first:last], menus[first:last]))
+    between = (not x.marked and not m for x, m in zip(lines[first:last], menus[first:last]))
     keep[first:last] = bytes(bool(k or x) for k, x in zip(keep[first:last], between))
     return [x for k, x in zip(keep, lines) if k and x.text]
 

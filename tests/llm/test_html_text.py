@@ -104,7 +104,7 @@ LINKS = "".join(f"<li><a href=/{i}>link {i}</a></li>" for i in range(5))
         ('<div class="content-sidebar-wrap"><div class="content"><p>Some text.</p></div></div>', "Some text."),
         ('<article><p>In.</p><section id="related-work"><p>Others.</p></section><div class="search-algorithms"><p>Binary.</p></div></article>', "In. Others. Binary."),
         (f"<div class=sidebar>{LONG}</div>", TEXT),
-        (f"<article><p>One.</p><ul>{LINKS}</ul><p>Two, <a href=/>linked</a>.</p><p><a href=/x>Only.</a></p></article>", "One. Two, linked . Only."),
+        (f"<article><p>One.</p><ul>{LINKS}</ul><p>Two, <a href=/>linked</a>.</p><p><a href=/x>Only.</a></p></article>", "One. Two, linked. Only."),
         (f"<article><p>Ok.</p><div class=comment-list>{LONG}</div></article>", "Ok."),
         (f"<div id=a>{LONG}</div><div class='reader-comments'>{LONG}</div>", TEXT),
         ("<div><p>same size</p></div><div class=x></div><nav>n</nav><section><p>same size</p></section>", "same size same size"),
