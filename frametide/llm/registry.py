@@ -19,6 +19,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_spread": line_dedup.ORACLE,
     "op2_url_rules": url_rules.ORACLE,
+    "op5_license_windows": license_scan.ORACLE,
     "op6_host_quality": quality.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
     "op9_warc_chunks": warc.ORACLE,
