@@ -1,16 +1,20 @@
 """Sharding by histogram sort.
 
 Rows are ordered by a key of 32 hex digits: the hash of the text and then the row's place in the table, so equal texts are
-neighbours. For each boundary between shards (and between the parts of a shard that one task sorts) the interval of keys
-that must hold it is known; a pass counts exact bytes and rows below 256 candidate keys inside every open interval, and
-the interval shrinks to the two candidates around the wanted number of bytes. Passes end when each boundary has a
-candidate within the tolerance or its interval is a single row. Then all rows are exchanged once.
+neighbours. For each boundary between shards the interval of keys that must hold it is known; a pass counts exact bytes and rows below
+256 candidate keys inside every open interval, and the interval shrinks to the two candidates around the wanted number of bytes.
+Passes end when each boundary has a candidate within the tolerance or its interval is a single row. Then all rows are exchanged
+once. What reaches the driver is 256 rows for each boundary and pass, so it depends on the number of shards alone.
+
+A shard that is too large for one task is dealt to several by a hash of its keys, which no group of equal texts upsets; the parts'
+exact row counts are a small table whose running sums are where the parts' slots begin.
 
 A boundary stands between texts where one lies within ``TOLERANCE`` of a shard's bytes; only a group of equal texts that
 is too large for that is cut, by place, so a group of a third of all rows fills as many shards as its bytes need.
 
 Defined results: a null text has no bytes, and its checksum is that of no bytes; null ids and repeated rows are placed
-like others; shards of an empty or tiny table may be empty; other columns pass through.
+like others, rows with equal texts in the order of the table; a very long text is one row of its bytes, and its shard may exceed the
+others by them; shards of an empty or tiny table may be empty; other columns pass through, and names that clash get underscores.
 """
 
 from __future__ import annotations
@@ -18,8 +22,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,7 +31,7 @@ from frametide.llm.common import free_name, table, written
 SHARDS = 24
 #: Of a shard's mean bytes.
 TOLERANCE = 0.005
-#: Rows that one task sorts have about so many bytes by the size column. A larger shard is sorted by several tasks.
+#: Rows that one task sorts have about so many bytes by the size column. A larger shard is dealt to several tasks.
 PART_BYTES = 256 << 20
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 8
@@ -88,37 +90,39 @@ def splitters(rows: DataFrame, wants: list[float], tolerance: float, key: str, s
     return found
 
 
+def parts_of(total: int, shards: int, part_bytes: int) -> int:
+    """Tasks for each shard."""
+    return max(1, math.ceil(total / shards / part_bytes))
+
+
 def shard(df: DataFrame, text: str = "text", size: str | None = None, shards: int = SHARDS, tolerance: float = TOLERANCE, part_bytes: int = PART_BYTES) -> DataFrame:
-    """``df`` with columns ``shard`` (int) and ``slot`` (long, gapless from 0), partitioned and sorted by them.
+    """``df`` with columns ``shard`` (int) and ``slot`` (long, gapless from 0), partitioned by shard and part.
 
     ``size`` names a long column of bytes; else it is the text's UTF-8 bytes plus ``ROW_BYTES``. Names that ``df`` has
     already get underscores.
     """
     columns = df.columns
-    key, own, part = free_name(df, "key__"), free_name(df, "size__"), free_name(df, "part__")
+    key, own, shard_, part, before = (free_name(df, x) for x in ("key__", "size__", "shard__", "part__", "before__"))
     bytes_ = F.col(size) if size else F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
     hashed = F.lpad(F.hex(F.xxhash64(F.col(text)) if text in columns else F.col("text_hash")), 16, "0")
     place = F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
     rows, _ = written(df.withColumns({key: F.concat(hashed, place), own: bytes_}), "sharding")
     total = rows.agg(F.sum(own)).first()[0] or 0
-    parts = max(1, math.ceil(total / shards / part_bytes))
-    wants = [total * i / (shards * parts) for i in range(1, shards * parts)]
-    found = splitters(rows, wants, tolerance * total / shards, key, own)
-    bounds = np.array([b.key for b in found], dtype=f"S{DIGITS + 1}")
-
-    @F.pandas_udf("int")
-    def part_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, keys.to_numpy().astype(bounds.dtype), side="left").astype(np.int32))
-
-    before = [0, *(b.rows for b in found)]
-    offset = F.get(F.lit([int(before[p] - before[p - p % parts]) for p in range(shards * parts)]), F.col(part))
-    exchanged = rows.withColumn(part, part_of(key)).repartitionById(shards * parts, part)
+    found = splitters(rows, [total * i / shards for i in range(1, shards)], tolerance * total / shards, key, own)
+    parts = parts_of(total, shards, part_bytes)
+    at = F.lit(0)
+    for i, b in enumerate(found, 1):  # the last boundary below the key counts
+        at = F.when(F.col(key) > b.key, i).otherwise(at)
+    dealt = rows.withColumns({shard_: at, part: at * parts + F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")})
+    if parts == 1:
+        first, sized = F.lit(0), dealt
+    else:
+        counts = dealt.groupBy(shard_, part).agg(F.count("*").alias("n"))
+        sums = F.coalesce(F.sum("n").over(W.partitionBy(shard_).orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        first, sized = F.col(before), dealt.join(written(counts.select(part, sums.alias(before)), "part-counts")[0], part)
+    exchanged = sized.repartitionById(shards * parts, part)
     place_in_part = F.row_number().over(W.partitionBy(part).orderBy(key))
-    return exchanged.select(
-        *columns,
-        F.floor(F.col(part) / parts).cast("int").alias(free_name(df, "shard")),
-        (offset + place_in_part - 1).cast("long").alias(free_name(df, "slot")),
-    )
+    return exchanged.select(*columns, F.col(shard_).alias(free_name(df, "shard")), (first + place_in_part - 1).cast("long").alias(free_name(df, "slot")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -51,6 +52,53 @@ def test_tiny(spark, rows):
     check(spark, rows)
 
 
+def test_query_against_sorted_rows(spark, sf):
+    """All rows sorted by the hash of their text: shards follow that order, each boundary is within the tolerance of the
+    wanted bytes or cuts a group of equal texts as near as a row allows, and slots count the rows of a shard in order."""
+    from pyspark.sql import functions as F
+
+    hashes = {r.doc_id: r.h for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lpad(F.hex(F.xxhash64("text")), 16, "0").alias("h")).collect()}
+    got = sorted(S.query(spark, sf).collect(), key=lambda r: (r.shard, r.slot))
+    order = [hashes[r.doc_id] for r in got]
+    assert order == sorted(order)
+    assert [r.slot for r in got] == [i for n in Counter(r.shard for r in got).values() for i in range(n)]
+    total = sum(r["size"] for r in got)
+    groups = {}
+    for r in got:
+        groups.setdefault(hashes[r.doc_id], []).append(r["size"])
+    for k in range(1, S.SHARDS):
+        want, below = total * k / S.SHARDS, sum(r["size"] for r in got if r.shard < k)
+        ends = [0]
+        for h in sorted(groups):
+            ends.append(ends[-1] + sum(groups[h]))
+        off = abs(below - want)
+        if off > S.TOLERANCE * total / S.SHARDS:  # then no boundary between texts is that near, and this is the nearest row
+            rows, at = [0], 0
+            for h in sorted(groups):
+                for size in groups[h]:
+                    at += size
+                    rows.append(at)
+            assert off == min(abs(x - want) for x in rows)
+        elif below not in ends:
+            assert min(abs(x - want) for x in ends) > S.TOLERANCE * total / S.SHARDS
+
+
+@pytest.mark.parametrize("total", [10**12, 10**13, 10**14])
+def test_parts_are_bounded_at_any_size(total):
+    parts = S.parts_of(total, 24, S.PART_BYTES)
+    mean = total / 24 / parts
+    assert S.PART_BYTES / 2 < mean <= S.PART_BYTES
+    # keys are dealt by hash: of a shard with documents of 4 kB the largest part is near the mean
+    n = mean / 4096
+    assert n + 6 * n**0.5 < 2 * S.PART_BYTES / 4096
+
+
+def test_a_very_long_text(spark):
+    rows = [(i, "short") for i in range(50)] + [(99, "long " * 200_000)]
+    sizes, homes = check(spark, rows)
+    assert len(homes["long " * 200_000]) == 1
+
+
 def test_query_columns(spark, sf):
     got = S.query(spark, sf).collect()
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
