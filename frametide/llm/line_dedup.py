@@ -7,17 +7,24 @@ where they come first (smallest id, then earliest place), so no content is lost
 
 Lines of fewer than ``MIN_WORDS`` words are never boilerplate: they recur by chance.
 
+Removal moves no text: the boilerplate lines, which are counted first, are sent to the workers, who look up each document's lines in
+place. Beyond ``SENT_LINES`` of them the places to remove are joined to the documents by key instead.
+
 Defined results: a null text stays null, has no lines and loses none; an empty text stays empty; a null site is no site; a
 null id comes before all others; documents that repeat id and text, and carry the first place of a line, all keep it; a
-document that loses all its lines is left with an empty text; empty tables give empty tables; other columns pass through.
+document that loses all its lines is left with an empty text; a very long text is split where it is and costs time in proportion;
+a line that stands twice in the document that keeps it is kept once; empty tables give empty tables; other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.llm.common import SPACE_RUN, free_name, indices, let, table, written
+from frametide.llm.common import SPACE_RUN, dropped, free_name, indices, let, table, written
 
 MIN_SITES = 10
 MIN_WORDS = 3
@@ -25,6 +32,10 @@ MIN_WORDS = 3
 LG_K = 10
 #: Estimates within this share of ``MIN_SITES`` are counted exactly: ten times the sketch's relative error.
 NEAR = 0.35
+#: Boilerplate lines that are sent to the workers at most: 32 bytes each, and so 64 MB.
+SENT_LINES = 2_000_000
+#: Of Spark's ``xxhash64``.
+SEED = 42
 
 
 def lines(docs: DataFrame, id_col: str, text: str, site: str) -> DataFrame:
@@ -51,38 +62,78 @@ def boilerplate(found: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     # a line that stands less often than the near band begins can't be on enough sites
     low, high = min_sites * (1 - near), min_sites * (1 + near)
     rated = sketched.filter(F.col("n") >= low).select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
-    rated, _ = written(rated.filter(F.col("sites") >= low), "line-spread")
+    rated, _ = written(rated.filter(F.col("sites") >= low), "line-spread")  # read by what is returned
     between = rated.filter(F.col("sites") <= high).select("h1", "h2", "first")
     exact = found.join(between.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count_distinct("site").alias("sites"))
     counted = between.join(exact.filter(F.col("sites") >= min_sites).select("h1", "h2"), ["h1", "h2"], "left_semi")
     return rated.filter(F.col("sites") > high).select("h1", "h2", "first").unionByName(counted)
 
 
-def removals(docs: DataFrame, id_col: str, text: str, site: str, min_sites: int = MIN_SITES) -> DataFrame:
-    """``k1, k2, gone``: the places that a document loses, for each that loses any."""
-    found = lines(docs, id_col, text, site)
-    spread, _ = written(boilerplate(found, min_sites), "boilerplate")
+def removals(found: DataFrame, spread: DataFrame) -> DataFrame:
+    """``k1, k2, gone``: the places that a document loses, for each that loses any. ``found``: its lines; ``spread``: boilerplate."""
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos")))
     gone = found.drop("site").join(spread, ["h1", "h2"]).filter(later).groupBy("k1", "k2").agg(F.collect_set("pos").alias("gone"))
     return written(gone, "lines-gone")[0]
 
 
+def _in_place(spread: DataFrame):
+    """A column function of id hash and text: the text without its boilerplate lines, and how many went."""
+    import xxhash
+
+    rows = spread.select("h1", "h2", F.xxhash64("first.doc_id").alias("id"), F.col("first.pos").cast("long").alias("pos")).toPandas()  # counted: at most SENT_LINES
+    rows = rows.sort_values("h1", kind="stable")
+    sent = spread.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy(np.int64) for c in ("h1", "h2", "id", "pos")))
+    line_seed = xxhash.xxh64_intdigest(b"line", SEED)
+
+    @F.pandas_udf("text string, removed long")
+    def cut(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        h1, h2, first_id, first_pos = sent.value
+        digest = xxhash.xxh64_intdigest
+        own = [None if x is None else x.encode("utf-8", "surrogatepass").split(b"\n") for x in texts]
+        sizes = np.array([len(x or ()) for x in own], dtype=np.int64)
+        hashes = np.fromiter((digest(y, SEED) for x in own for y in x or ()), dtype=np.uint64, count=int(sizes.sum())).view(np.int64)
+        at = np.searchsorted(h1, hashes)
+        hits = np.flatnonzero(h1[np.minimum(at, len(h1) - 1)] == hashes) if len(h1) else ()
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        gone: dict[int, set[int]] = {}
+        for i in hits:
+            doc = int(np.searchsorted(starts, i, side="right")) - 1
+            pos, k = int(i - starts[doc]), int(at[i])
+            second = np.uint64(digest(own[doc][pos], line_seed)).view(np.int64)
+            while k < len(h1) and h1[k] == hashes[i]:
+                if h2[k] == second and not (first_id[k] == ids.iat[doc] and first_pos[k] == pos):
+                    gone.setdefault(doc, set()).add(pos)
+                k += 1
+        out = texts.copy()
+        for doc, places in gone.items():
+            out.iat[doc] = b"\n".join(x for j, x in enumerate(own[doc]) if j not in places).decode("utf-8", "surrogatepass")
+        return pd.DataFrame({"text": out, "removed": [len(gone.get(i, ())) for i in range(len(texts))]})
+
+    return cut
+
+
 def without(text: Column, gone: Column) -> Column:
     """The text without its lines at the places ``gone``."""
     return let(F.split(text, "\n"), lambda ln: F.array_join(F.transform(F.array_except(indices(ln), gone), lambda i: F.get(ln, i)), "\n"))
 
 
-def clean(docs: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, removed: str | None = None) -> DataFrame:
-    """``docs`` with boilerplate lines removed from ``text``, and their number in ``removed`` where a name is given.
-
-    The documents that lose lines are a share of the corpus, so both sides grow with it: a merge join by key, whose keys
-    are hashes of id and text and so have no hot value.
-    """
+def clean(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", site: str = "source", min_sites: int = MIN_SITES, removed: str | None = None, sent_lines: int = SENT_LINES
+) -> DataFrame:
+    """``docs`` with boilerplate lines removed from ``text``, and their number in ``removed`` where a name is given."""
+    found = lines(docs, id_col, text, site)
+    spread, path = written(boilerplate(found, min_sites), "boilerplate")
+    if spread.count() <= sent_lines:
+        cut = free_name(docs, "cut__")
+        both = docs.withColumn(cut, _in_place(spread)(F.xxhash64(F.col(id_col)), F.col(text)))
+        dropped(docs.sparkSession, path)
+        new, n = F.col(cut)["text"], F.col(cut)["removed"]
+        return both.select(*(new.alias(c) if c == text else F.col(c) for c in docs.columns), *([n.alias(removed)] if removed else []))
+    # the documents that lose lines are a share of the corpus, so both sides grow with it; keys are hashes of id and text, and so none is hot
     k1, k2, gone = (free_name(docs, x) for x in ("k1__", "k2__", "gone__"))
-    lost = removals(docs, id_col, text, site, min_sites).toDF(k1, k2, gone)
+    lost = removals(found, spread).toDF(k1, k2, gone)
     a, b = _keys(F.col(id_col), F.col(text))
-    keyed = docs.withColumns({k1: a, k2: b})
-    joined = keyed.join(lost.hint("merge"), [k1, k2], "left")
+    joined = docs.withColumns({k1: a, k2: b}).join(lost, [k1, k2], "left")
     columns = [F.when(F.col(gone).isNull(), F.col(text)).otherwise(without(F.col(text), F.col(gone))).alias(c) if c == text else F.col(c) for c in docs.columns]
     if removed:
         columns.append(F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(removed))

@@ -33,8 +33,8 @@ def test_against_brute_force(spark):
     rows += [(100, None, "s1"), (101, "", "s2"), (102, foot, "s3"), (103, f"{foot}\n{foot}\n\n{foot}", None), (None, f"{foot}\nnull id", "s4"), (5, rows[5][1], "s5"), (5, rows[5][1], "s5")]
     rows += [(200 + i, "same site line again", "one") for i in range(40)] + [(300 + i, "site without a name", None) for i in range(30)] + [(400 + i, "é ü ß\tx" + " " * (i % 2), f"t{i}") for i in range(24)]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
-    for t in (10, 11, 12, 30):
-        out = L.clean(df, min_sites=t, removed="n_removed")
+    for t, sent in ((10, 1000), (11, 1000), (11, 0), (12, 0), (30, 1000)):
+        out = L.clean(df, min_sites=t, removed="n_removed", sent_lines=sent)
         assert out.columns == [*df.columns, "n_removed"]
         got = sorted(((r.doc_id, r.text, r.n_removed) for r in out.collect()), key=key)
         assert got == sorted(brute(rows, t), key=key)
@@ -44,3 +44,12 @@ def test_every_line_gone_and_empty(spark):
     df = spark.createDataFrame([(i, "one shared line of text", f"s{i}", "x", 1) for i in range(12)], SCHEMA)
     assert sorted(r.text for r in L.clean(df).collect()) == [""] * 11 + ["one shared line of text"]
     assert L.clean(df.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    foot = "read more on our site"
+    long = "\n".join([*(f"line {i} of many lines" for i in range(100_000)), foot, "x " * 500_000])
+    df = spark.createDataFrame([(i, f"text {i}\n{foot}", f"s{i}", "x", 1) for i in range(12)] + [(50, long, "s1", "x", 1)], SCHEMA)
+    for sent in (1000, 0):
+        got = {r.doc_id: r.text for r in L.clean(df, sent_lines=sent).collect()}
+        assert got[50] == long.replace(foot + "\n", "") and got[0].endswith(foot) and got[3] == "text 3"
