@@ -1,9 +1,13 @@
 """Benchmark decontamination by a positional inverted index.
 
-Postings ``(term, doc_key, pos)`` of the training texts are stored as a table. A test item is looked up from its rarest
-terms: in each window of ``WINDOW`` item words the two rarest terms are anchors, their posting lists are shifted by the
-anchor's place in the item and intersected on ``(document, shift)``, and what survives is compared word by word with the
-document. The rarest terms are known exactly: document-side counts of every test term come from a pass over all texts.
+Postings ``(term, doc_key, pos)`` of the training texts are stored as a table. The test items are cut into windows of ``WINDOW`` words,
+each distinct window being looked up once. The posting list of a window's rarest term leads: shifted by the term's place it
+says where the window may begin; the list of the second rarest is probed for the place that belongs to it, by term, document and
+place. What survives is compared word by word with the document, a row for each place. The rarest terms are known
+exactly: document-side counts of every test term come from a pass over all texts.
+
+A hot term leads only where a window has no rarer one. Then its list is joined with the windows that it leads, which Catalyst broadcasts by their
+stored size or joins by shuffle, where AQE splits the term; the probes' keys hold document and place, and so none is hot.
 
 Only postings of anchor terms are stored by :func:`contaminated`, since no other list is ever probed; :func:`build_index`
 stores all terms where none are given.
@@ -11,7 +15,9 @@ stores all terms where none are given.
 Defined results: a null or empty text has no words and is never hit; null or wordless items are never found; an item of
 fewer than ``WINDOW`` words is one window; repeated documents are each reported; repeated items (same id and text) count
 once; an item id that repeats with different texts is one item in ``n_items``; a null item id is not listed, but its
-words are hit. Empty tables give empty results or documents without hits. Other columns are not read.
+words are hit; equally rare terms lead in the order of the terms and places. A very long text or item has a row for each place and
+window, and what one row holds of it grows with it in proportion. Empty tables give empty results or documents without hits.
+Other columns, whatever their names, are not read, and pass through :func:`keep_clean`.
 """
 
 from __future__ import annotations
@@ -20,16 +26,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from frametide.llm.common import free_name, indices, let, phrase_words, scratch_path, scratch_scope, table, written
+from frametide.llm.common import free_name, phrase_words, scratch_path, scratch_scope, table, written
 
 WINDOW = 10
-ANCHORS = 2
+
+
+def _keys(id_: Column, text: Column) -> tuple[Column, Column]:
+    """Of rows that repeat the same. Lists go by the first; should two rows collide there, each is still compared with its own words."""
+    return F.xxhash64(id_, text), F.xxhash64(F.lit("doc"), text, id_)
 
 
 def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``doc_key, doc_id, words``. The key is a hash of id and text, so that rows that repeat share their lists; should
-    two rows collide, each is still compared with its own words."""
-    return docs.select(F.xxhash64(F.col(id_col), F.col(text)).alias("doc_key"), F.col(id_col).alias("doc_id"), phrase_words(F.col(text)).alias("words"))
+    """``doc_key, doc_id, words``."""
+    return docs.select(_keys(F.col(id_col), F.col(text))[0].alias("doc_key"), F.col(id_col).alias("doc_id"), phrase_words(F.col(text)).alias("words"))
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", terms: DataFrame | None = None) -> DataFrame:
@@ -44,128 +53,90 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ter
     return postings.select("term", "doc_key", "pos")
 
 
-def item_rows(items: DataFrame, id_col: str = "item_id", text: str = "text") -> DataFrame:
-    """``item_key, item_id, item_words`` of the items that have words, each once."""
-    words = phrase_words(F.col(text))
-    rows = items.select(F.col(id_col).alias("item_id"), words.alias("item_words")).filter(F.size("item_words") > 0).distinct()
-    return rows.select(F.xxhash64("item_id", "item_words").alias("item_key"), "item_id", "item_words")
+def item_windows(items: DataFrame, id_col: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``item_id, words``: the windows of every item, each once."""
+    rows = items.select(F.col(id_col).cast("string").alias("item_id"), phrase_words(F.col(text)).alias("w")).filter(F.size("w") > 0).distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1))
+    return rows.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("words")).distinct()
 
 
-def anchors(items: DataFrame, counts: DataFrame, window: int = WINDOW, n: int = ANCHORS) -> DataFrame:
-    """Per window, its ``n`` rarest places: ``item_key, win, need, anchor_pos, term``; ``need`` is how many the window has.
+def anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per window its rarest term and the next: ``win, size, term, off, term2, off2`` (the last two null for a single word).
 
-    ``counts``: ``term, n``; a term that is missing occurs nowhere, and so do its windows, which are left out.
-    """
-    words = items.select("item_key", F.posexplode("item_words").alias("anchor_pos", "term"), F.size("item_words").alias("n_words"))
-    ranked = words.join(counts, "term", "left")
-    starts = F.sequence(F.greatest(F.lit(0), F.col("anchor_pos") - window + 1), F.least(F.col("anchor_pos"), F.greatest(F.lit(0), F.col("n_words") - window)))
-    wins = ranked.withColumn("win", F.explode(starts))
-    by = W.partitionBy("item_key", "win")  # at most `window` rows each
-    return (
-        wins.withColumn("missing", F.max(F.col("n").isNull()).over(by))
-        .filter(~F.col("missing"))
-        .withColumn("rank", F.row_number().over(by.orderBy("n", "term", "anchor_pos")))
-        .filter(F.col("rank") <= n)
-        .withColumn("need", F.count("*").over(by))
-        .select("item_key", "win", "need", "anchor_pos", "term")
-    )
-
-
-def alignments(index: DataFrame, anchored: DataFrame) -> DataFrame:
-    """``doc_key, item_key, shift``: where, for some window, all its anchors stand in the document at the same shift.
-
-    The lists of a window's anchors are joined term by term and counted by (document, item, shift); an item has as many
-    places as words, so no group grows with the corpus.
+    ``windows``: ``win, words``; ``counts``: ``term, n``. A term that is missing occurs nowhere, and so do its windows, which are left out.
     """
-    places = anchored.select("item_key", "anchor_pos", "term").distinct()
-    shifted = index.join(places, "term").select("doc_key", "item_key", (F.col("pos") - F.col("anchor_pos")).alias("shift"), "anchor_pos")
-    lists = shifted.groupBy("doc_key", "item_key", "shift").agg(F.collect_set("anchor_pos").alias("found"))
-    windows = anchored.groupBy("item_key", "win").agg(F.collect_set("anchor_pos").alias("need"))
-    windows = windows.groupBy("item_key").agg(F.collect_set("need").alias("needs"))
-    alive = F.exists("needs", lambda need: F.size(F.array_except(need, F.col("found"))) == 0)
-    return lists.join(windows, "item_key").filter(alive).select("doc_key", "item_key", "shift")
+    words = windows.select("win", F.size("words").alias("size"), F.posexplode("words").alias("off", "term")).join(counts, "term", "left")
+    one = F.struct("n", "term", "off")
+    ranked = words.groupBy("win", "size").agg(F.array_sort(F.collect_list(one)).alias("a"), F.max(F.col("n").isNull()).alias("missing"))  # a window's words
+    first, second = F.get("a", F.lit(0)), F.get("a", F.lit(1))
+    return ranked.filter(~F.col("missing")).select("win", "size", first["term"].alias("term"), first["off"].alias("off"), second["term"].alias("term2"), second["off"].alias("off2"))
 
 
-def _hit_places(words: Column, item: Column, shift: Column, window: int) -> Column:
-    """Places of the document inside an occurrence of a window of the item, at one shift.
+def places(index: DataFrame, anchored: DataFrame) -> DataFrame:
+    """``doc_key, start, size``: where a window's rarest terms stand in a document as they do in the window. Rows may repeat."""
+    led = index.join(anchored, "term").select("doc_key", (F.col("pos") - F.col("off")).alias("start"), "size", "term2", "off2").filter("start >= 0")
+    probe = index.select("doc_key", F.col("term").alias("term2"), F.col("pos").alias("pos2"))
+    both = led.filter("term2 is not null").withColumn("pos2", F.col("start") + F.col("off2")).join(probe, ["doc_key", "term2", "pos2"], "left_semi")
+    return both.select("doc_key", "start", "size").unionByName(led.filter("term2 is null").select("doc_key", "start", "size"))
 
-    ``run`` counts equal words in a row; when it reaches the window's length, its places so far are hit, and then each
-    further one.
-    """
-    width = F.least(F.lit(window), F.size(item))
-    start = F.struct(F.lit(0).alias("run"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc: Column, j: Column) -> Column:
-        at = j + shift
-        same = F.coalesce((at >= 0) & (F.get(words, at) == F.get(item, j)), F.lit(False))
-        run = F.when(same, acc["run"] + 1).otherwise(0)
-        more = F.when(run == width, F.sequence(at - width + 1, at)).when(run > width, F.array(at)).otherwise(F.array().cast("array<int>"))
-        return F.struct(run.alias("run"), F.concat(acc["out"], more).alias("out"))
+def _covered(spans: Column) -> Column:
+    """How many places the spans ``start, size`` cover; they are sorted."""
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = x["start"] + x["size"]
+        return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], x["start"]))).alias("n"))
 
-    return F.aggregate(indices(item), start, step, lambda acc: acc["out"])
+    return F.aggregate(spans, zero, step, lambda acc: acc["n"])
 
 
-def _candidates(slim: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int) -> DataFrame:
-    """``doc_key, found``: per document with a surviving alignment, its ``(item_id, item_words, shift)``. ``slim``: doc_id, text."""
-    path = scratch_path(slim.sparkSession, "candidates")
-    with scratch_scope(slim.sparkSession):
-        wanted, _ = written(item_rows(items, item_id, item_text), "items")
-        vocabulary, _ = written(wanted.select(F.explode("item_words").alias("term")).distinct(), "vocabulary")
+def hits(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_id: str, item_text: str, window: int) -> DataFrame:
+    """``doc_key, doc_key2, n_hit, items`` of every document that holds a window, as a stored table."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    path = scratch_path(spark, "hits")
+    with scratch_scope(spark):
+        members, _ = written(item_windows(items, item_id, item_text, window).withColumn("win", F.xxhash64("words")), "item-windows")
+        windows = members.select("win", "words").distinct()
+        vocabulary, _ = written(members.select(F.explode("words").alias("term")).distinct(), "vocabulary")
         counts, _ = written(build_index(slim, "doc_id", "text", vocabulary).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
-        anchored, _ = written(anchors(wanted, counts, window), "anchors")
-        terms, _ = written(anchored.select("term").distinct(), "anchor-terms")
+        # two windows with one hash would share anchors; the words tell them apart below, and so the anchors go by both
+        anchored, _ = written(anchors(windows.withColumn("win", F.struct("win", F.xxhash64(F.reverse("words")))), counts).drop("win").distinct(), "anchors")
+        terms, _ = written(anchored.select(F.explode(F.array("term", "term2")).alias("term")).filter("term is not null").distinct(), "anchor-terms")
         index, _ = written(build_index(slim, "doc_id", "text", terms), "postings")
-        found = alignments(index, anchored).join(wanted, "item_key")
-        found = found.groupBy("doc_key").agg(F.collect_set(F.struct("item_id", "item_words", "shift")).alias("found"))
-        found.write.parquet(path)
-    return slim.sparkSession.read.schema(found.schema).parquet(path)
-
-
-def _report(words: Column, found: Column, window: int) -> Column:
-    """Struct of n_words, n_hit and the sorted ids of the items found, after comparing word by word."""
-
-    def checked(w: Column) -> Column:
-        hits = F.transform(found, lambda f: F.struct(f["item_id"].alias("item_id"), _hit_places(w, f["item_words"], f["shift"], window).alias("at")))
-        return let(
-            F.filter(hits, lambda h: F.size(h["at"]) > 0),
-            lambda h: F.struct(
-                F.size(w).cast("long").alias("n_words"),
-                F.size(F.array_distinct(F.flatten(F.transform(h, lambda x: x["at"])))).cast("long").alias("n_hit"),
-                F.array_sort(F.array_distinct(F.array_compact(F.transform(h, lambda x: x["item_id"].cast("string"))))).alias("items"),
-            ),
-        )
-
-    return let(words, checked)
-
-
-def _parted(docs: DataFrame, key: str, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The documents with a candidate, joined to it, and all others. ``key`` names the key column in both.
-
-    Only keys are compared with all documents, so Catalyst can broadcast them while they are small, and only texts with a
-    candidate are joined to what was found.
-    """
-    keys, _ = written(candidates.select(key), "candidate-keys")
-    return docs.join(keys, key, "left_semi").join(candidates, key), docs.join(keys, key, "left_anti")
+        found, _ = written(places(index, anchored).groupBy("doc_key").agg(F.collect_set(F.struct("start", "size")).alias("at")), "places")
+        a, b = _keys(F.col("doc_id"), F.col("text"))
+        texts = slim.select(a.alias("doc_key"), b.alias("doc_key2"), "text").join(found.select("doc_key"), "doc_key", "left_semi")
+        texts = texts.groupBy("doc_key", "doc_key2").agg(F.first("text").alias("text")).join(found, "doc_key")  # rows that repeat are compared once
+        own = texts.select("doc_key", "doc_key2", "at", phrase_words(F.col("text")).alias("w"))
+        pieces = F.transform("at", lambda x: F.struct(x["start"].alias("start"), F.slice(F.col("w"), x["start"] + 1, x["size"]).alias("words")))
+        pieces = own.select("doc_key", "doc_key2", F.explode_outer(pieces).alias("p")).select("doc_key", "doc_key2", "p.*").withColumn("win", F.xxhash64("words"))
+        same, _ = written(pieces.join(windows, ["win", "words"]), "same")
+        spans = same.groupBy("doc_key", "doc_key2").agg(F.sort_array(F.collect_set(F.struct("start", F.size("words").alias("size")))).alias("s"))
+        spans = spans.select("doc_key", "doc_key2", _covered(F.col("s")).alias("n_hit"))
+        names = same.select("doc_key", "doc_key2", "win", "words").distinct().join(members, ["win", "words"])
+        names = names.groupBy("doc_key", "doc_key2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+        out = spans.join(names, ["doc_key", "doc_key2"])
+        out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, items`` (the ids of the items found, as sorted strings)."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    candidates = _candidates(slim, items, item_id, item_text, window)
-    own = slim.select(F.xxhash64("doc_id", "text").alias("doc_key"), "doc_id", "text")
-    near, _ = _parted(own, "doc_key", candidates)
-    _, far = _parted(own.select("doc_key", "doc_id", F.size(phrase_words(F.col("text"))).cast("long").alias("n_words")), "doc_key", candidates)
-    near = near.select("doc_id", _report(phrase_words(F.col("text")), F.col("found"), window).alias("r")).select("doc_id", "r.*")
-    return near.unionByName(far.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items")))
+    found = hits(docs, items, id_col, text, item_id, item_text, window)
+    a, b = _keys(F.col(id_col), F.col(text))
+    own = docs.select(a.alias("doc_key"), b.alias("doc_key2"), F.col(id_col).alias("doc_id"), F.size(phrase_words(F.col(text))).cast("long").alias("n_words"))
+    out = own.join(found, ["doc_key", "doc_key2"], "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents without a hit, with their own columns."""
-    key, found = free_name(docs, "doc_key__"), free_name(docs, "found__")
-    candidates = _candidates(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), items, item_id, item_text, window)
-    near, far = _parted(docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text))), key, candidates.toDF(key, found))
-    near = near.filter(_report(phrase_words(F.col(text)), F.col(found), window)["n_hit"] == 0)
-    return near.select(*docs.columns).unionByName(far.select(*docs.columns))
+    k1, k2 = free_name(docs, "doc_key__"), free_name(docs, "doc_key2__")
+    found = hits(docs, items, id_col, text, item_id, item_text, window).select(F.col("doc_key").alias(k1), F.col("doc_key2").alias(k2))
+    a, b = _keys(docs[id_col], docs[text])
+    return docs.join(found, (a == F.col(k1)) & (b == F.col(k2)), "left_anti")
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -6,7 +7,7 @@ from hypothesis import strategies as st
 
 from frametide.llm import decontaminate as D
 
-DOCS, ITEMS = "doc_id long, text string, found__ int, words string", "item_id long, text string, extra int"
+DOCS, ITEMS = "doc_id long, text string, doc_key__ int, words string", "item_id long, text string, extra int"
 
 
 def words(t):
@@ -58,6 +59,18 @@ def test_repeating_words_and_periodic_items(spark):
     run(spark, docs, items)
 
 
+def test_one_word_texts_and_long_items_take_time_in_proportion(spark):
+    items = spark.createDataFrame([(1, "a " * 40_000), (2, PASSAGE)], "item_id long, text string")
+    took = []
+    for n in (100_000, 1_000_000):
+        docs = spark.createDataFrame([(1, "a " * n), (2, f"x a a a {PASSAGE} a"), (3, "a " * 9)], "doc_id long, text string")
+        began = time.time()
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in D.contaminated(docs, items).collect()}
+        took.append(time.time() - began)
+        assert got == {1: (n, n, ["1"]), 2: (19, 14, ["2"]), 3: (9, 0, [])}
+    assert took[1] < 10 * took[0]
+
+
 def test_empty_tables(spark):
     run(spark, [], [(1, PASSAGE)])
     run(spark, [(1, PASSAGE)], [])
