@@ -106,8 +106,9 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str, text: str, item_id: str
         terms, _ = written(anchored.select(F.explode(F.array("term", "term2")).alias("term")).filter("term is not null").distinct(), "anchor-terms")
         index, _ = written(build_index(slim, "doc_id", "text", terms), "postings")
         found, _ = written(places(index, anchored).groupBy("doc_key").agg(F.collect_set(F.struct("start", "size")).alias("at")), "places")
+        keys, _ = written(found.select("doc_key"), "place-keys")  # a table of its own, so that Catalyst knows its size and moves no text for a few of them
         a, b = _keys(F.col("doc_id"), F.col("text"))
-        texts = slim.select(a.alias("doc_key"), b.alias("doc_key2"), "text").join(found.select("doc_key"), "doc_key", "left_semi")
+        texts = slim.select(a.alias("doc_key"), b.alias("doc_key2"), "text").join(keys, "doc_key", "left_semi")
         texts = texts.groupBy("doc_key", "doc_key2").agg(F.first("text").alias("text")).join(found, "doc_key")  # rows that repeat are compared once
         own = texts.select("doc_key", "doc_key2", "at", phrase_words(F.col("text")).alias("w"))
         pieces = F.transform("at", lambda x: F.struct(x["start"].alias("start"), F.slice(F.col("w"), x["start"] + 1, x["size"]).alias("words")))
