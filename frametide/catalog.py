@@ -230,14 +230,14 @@ def frame_json(spark, sf):
 
 @query(
     _after_nms(
-        "SELECT path, string_split(path, '/')[-1] AS name, concat('[', string_agg(concat('[', CAST(x1 AS VARCHAR), ',', CAST(y1 AS VARCHAR), ',', CAST(x2 AS VARCHAR), ',', CAST(y2 AS VARCHAR), ',', CAST(conf AS VARCHAR), ',', CAST(CAST(kept.cls AS DOUBLE) AS VARCHAR), ']'), ',' ORDER BY rank), ']') AS boxes "
-        "FROM images JOIN kept ON kept.frame_idx = image_id GROUP BY path"
+        "SELECT path, string_split(path, '/')[-1] AS name, concat('[', coalesce(string_agg(concat('[', CAST(x1 AS VARCHAR), ',', CAST(y1 AS VARCHAR), ',', CAST(x2 AS VARCHAR), ',', CAST(y2 AS VARCHAR), ',', CAST(conf AS VARCHAR), ',', CAST(CAST(kept.cls AS DOUBLE) AS VARCHAR), ']'), ',' ORDER BY rank) FILTER (WHERE kept.frame_idx IS NOT NULL), ''), ']') AS boxes "
+        "FROM images LEFT JOIN kept ON kept.frame_idx = image_id GROUP BY path"
     ),
     "detections", "images",
 )
 def image_json(spark, sf):
     images = view(spark, sf, "images").select(F.col("image_id").alias("frame_idx"), "path")
-    docs = D.image_documents(_kept(spark, sf).join(images, "frame_idx"))
+    docs = D.image_documents(images, _kept(spark, sf).join(images, "frame_idx"))
     return docs.select("path", "name", F.to_json("boxes").alias("boxes"))
 
 
@@ -558,23 +558,53 @@ def detect_images(spark, sf):
     return detect(frames, BrightBlocks(), Settings(patch_size=64, min_overlap=16), key="frame_idx")
 
 
-@query(_policy_sql("drop_oldest", 4), "arrivals")
-def stream_admission(spark, sf):
+@query(
+    "WITH g AS (SELECT source_idx, CAST(96 + source_idx % 3 * 32 AS INT) AS w, CAST(64 + source_idx % 2 * 32 AS INT) AS h FROM frames), "
+    "c AS (SELECT source_idx, w, h, source_idx * 16 % (w - 32) // 16 * 16 AS x, source_idx * 48 % (h - 32) // 16 * 16 AS y FROM g), o AS (SELECT * FROM (VALUES (0, 0, 0), (1, 0, 16), (2, 16, 0), (3, 16, 16)) AS v(rank, dx, dy)) "
+    "SELECT source_idx AS frame_idx, rank, CAST(x + dx AS DOUBLE) AS x1, CAST(y + dy AS DOUBLE) AS y1, CAST(x + dx + 16 AS DOUBLE) AS x2, CAST(y + dy + 16 AS DOUBLE) AS y2, 224e0 / 255e0 AS conf, CAST(0 AS INT) AS cls FROM c, o",
+    "frames",
+)
+def detect_images_global(spark, sf):
+    """The same with the whole frame as one more patch: at a size of one block nothing of it is bright enough, so the boxes are those of the patches."""
+    from frametide.detector import BrightBlocks
+    from frametide.plans.detect import detect
+    from frametide.settings import Settings
+
+    frames = _pixel_frames(spark, sf).withColumnRenamed("source_idx", "frame_idx")
+    return detect(frames, BrightBlocks(), Settings(patch_size=64, min_overlap=16, global_context=True, global_size=16), key="frame_idx")
+
+
+def _streamed(spark, sf, policy):
     """The admission policy as a streaming query over the event log, drained."""
-    import tempfile
     import uuid
 
+    from frametide.scratch import shared_folder
     from frametide.streaming.admission import admit
 
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="frametide-")).rstrip("/") + f"/admission-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/admission-{uuid.uuid4().hex}"
     events = view(spark, sf, "arrivals")
     events.write.parquet(f"{base}/events")
     live = spark.readStream.schema(events.schema).parquet(f"{base}/events")
-    q = admit(live, "drop_oldest", 4).writeStream.option("checkpointLocation", f"{base}/state").format("parquet").trigger(availableNow=True).start(f"{base}/out")
+    q = admit(live, policy, 4).writeStream.option("checkpointLocation", f"{base}/state").format("parquet").trigger(availableNow=True).start(f"{base}/out")
     q.awaitTermination()
     return spark.read.schema(P.OUTCOME).parquet(f"{base}/out").select("stream_id", "source_idx", "outcome", "t")
 
 
+@query(_policy_sql("drop_oldest", 4), "arrivals")
+def stream_admission(spark, sf):
+    return _streamed(spark, sf, "drop_oldest")
+
+
+@query(_policy_sql("drop_newest", 4), "arrivals")
+def stream_admission_newest(spark, sf):
+    return _streamed(spark, sf, "drop_newest")
+
+
+@query(_policy_sql("latest_only", 1), "arrivals")
+def stream_admission_latest(spark, sf):
+    return _streamed(spark, sf, "latest_only")
+
+
 @query(None)
 def latency_trace_document(spark, sf):
     """The trace of a run as one JSON document; its counters are the sums over all parts of the run."""

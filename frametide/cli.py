@@ -6,10 +6,7 @@ Video files need a decoder, which is not part of this package: ``video`` reads a
 from __future__ import annotations
 
 import argparse
-import os
 import sys
-import tempfile
-import time
 
 from frametide.settings import read_yaml, settle
 
@@ -61,39 +58,25 @@ def _session():
     return SparkSession.builder.appName("frametide").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def _detector_of(s, detector):
+    from frametide.api import TiledDetector
+
+    d = TiledDetector(detector, _session())
+    d.settings = s
+    return d
+
+
 def run_image(s, detector) -> int:
-    from frametide.operators import detections as D
-    from frametide.plans.detect import detect
-    from frametide.sources import images, sinks
-
-    found = detect(images.read_images(_session(), s.input), detector, s, buffer=s.resize or (3840, 2160))
-    documents = D.image_documents(found)
-    if s.save_json:
-        n = sinks.write_image_map(documents, os.path.join(s.output or ".", "detections.json"))
-    else:
-        n = documents.count()
-    print(f"{n} images with boxes")
+    with _detector_of(s, detector) as d:
+        found = d.predict_image(s.input, s.output or ".")
+    print(f"{len(found)} images, {sum(map(len, found.values()))} boxes")
     return 0
 
 
 def run_video(s, detector) -> int:
-    from frametide.sources import frames, sinks
-    from frametide.streaming import detect as live
-
-    spark, began = _session(), time.time()
-    rows = frames.read_frames(spark, s.input, stride=s.stride, offset=s.offset, rows=s.max_in_flight, fps_cap=s.input_fps_cap)
-    work = tempfile.mkdtemp(prefix="frametide-")
-    parts = os.path.join(work, "documents")
-    live.run(rows, detector, s, lambda d, n: d.write.mode("overwrite").parquet(f"{parts}/batch={n}"), os.path.join(work, "checkpoint"))
-    if not os.path.isdir(parts):
-        print("0 frames")
-        return 0
-    done = spark.read.parquet(parts).drop("batch")
-    if s.num_frames is not None:
-        done = done.orderBy("frame_idx").limit(s.num_frames)
-    stem = os.path.splitext(os.path.basename(s.input.rstrip("/")))[0]
-    n = sinks.write_frame_array(done, os.path.join(s.output or ".", stem + ".json")) if s.save_json else done.count()
-    print(f"{n} frames, {n / max(time.time() - began, 1e-9):.2f} FPS")
+    with _detector_of(s, detector) as d:
+        d.predict_video(s.input, s.output or ".")
+    print("\n".join(d.report.lines))
     return 0
 
 

@@ -106,11 +106,13 @@ def frame_documents(frames: DataFrame, kept: DataFrame) -> DataFrame:
     return joined.select("frame_idx", F.coalesce(ordered, F.filter(ordered, lambda x: F.lit(False)), F.array().cast("array<struct<bbox:array<double>,conf:double,class:int>>")).alias("detections"))
 
 
-def image_documents(kept: DataFrame, path: str = "path") -> DataFrame:
-    """``path, name, boxes``: the boxes of an image as arrays of six, under its base name and its whole path."""
+def image_documents(images: DataFrame, kept: DataFrame, path: str = "path") -> DataFrame:
+    """``path, name, boxes`` of every image: its boxes as arrays of six, none where nothing was found, under its base name and its whole path."""
     one = F.struct(F.col("rank"), F.array(*BOX[:5], F.col("cls").cast("double")).alias("box"))
     lists = kept.groupBy(path).agg(F.array_sort(F.collect_list(one)).alias("b"))
-    return lists.select(path, text.basename(F.col(path)).alias("name"), F.transform("b", lambda x: x["box"]).alias("boxes"))
+    joined = images.select(path).join(lists, path, "left")
+    boxes = F.coalesce(F.transform("b", lambda x: x["box"]), F.array().cast("array<array<double>>"))
+    return joined.select(path, text.basename(F.col(path)).alias("name"), boxes.alias("boxes"))
 
 
 def draw_primitives(kept: DataFrame) -> DataFrame:

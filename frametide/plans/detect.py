@@ -1,7 +1,7 @@
 """The detection plan: images or frames in, boxes in their own coordinates out.
 
 Letterbox, tiling and detection of a frame happen in one Arrow batch function, so a frame's pixels are read once, stay in one task and are
-dropped there; only boxes leave it. What follows are column expressions and one shuffle by frame for suppression.
+dropped there; only boxes leave it, with their image's size. What follows are column expressions and one shuffle by frame for suppression.
 """
 
 from __future__ import annotations
@@ -18,44 +18,69 @@ from frametide.functions import geometry, pixels
 from frametide.operators import detections as D
 from frametide.settings import Settings
 
-PATCH_BOXES = "patch_id int, is_global boolean, x0 int, y0 int, x1 double, y1 double, x2 double, y2 double, conf double, cls int"
+SHAPE = ("w", "h", "rx", "ry", "dw", "dh")
+PATCH_BOXES = "w int, h int, rx double, ry double, dw double, dh double, fit_w int, fit_h int, is_global boolean, x0 int, y0 int, x1 double, y1 double, x2 double, y2 double, conf double, cls int"
+
+_LOADED: dict[str, Detector] = {}  # of a Python worker
+
+
+def _loaded(pickled: bytes) -> Detector:
+    """The detector, unpickled and made ready once in each worker, however many tasks that runs."""
+    import hashlib
+    import pickle
+
+    name = hashlib.sha1(pickled).hexdigest()
+    if name not in _LOADED:
+        detector = pickle.loads(pickled)
+        if hasattr(detector, "load"):
+            detector.load()
+        _LOADED[name] = detector
+    return _LOADED[name]
 
 
 def patch_detections(images: DataFrame, key: str, detector: Detector, s: Settings) -> DataFrame:
-    """Raw boxes of each patch, with the letterbox of their image. ``images``: key, ``w, h, channels, data`` and ``fit``."""
+    """Raw boxes of each patch, with the letterbox of their image, and one row without a box for each image.
+
+    ``images``: key, ``w, h, channels, data`` and ``fit``. The detector sees each patch once, and the whole image where that is asked for.
+    """
+    from pyspark import cloudpickle
+
+    pickled = cloudpickle.dumps(detector)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             out: list[tuple] = []
+            found_by = _loaded(pickled) if len(frame) else None
             for row in frame.itertuples(index=False):
                 image = np.frombuffer(row.data, np.uint8).reshape(row.h, row.w, row.channels)
                 f = row.fit
                 image = pixels.letterbox(image, f["unpad_w"], f["unpad_h"], f["top"], f["bottom"], f["left"], f["right"])
                 places = [(t["x0"], t["y0"]) for t in row.tiles]
-                own = (getattr(row, key), row.fit_w, row.fit_h)
+                own = (getattr(row, key), row.w, row.h, f["rx"], f["ry"], f["dw"], f["dh"], row.fit_w, row.fit_h)
+                out.append((*own, *[None] * 9))
                 for at in range(0, len(places), s.batch_size):
                     patches = np.zeros((s.batch_size, s.patch_size, s.patch_size, row.channels), np.uint8)  # a short batch is filled up with black
                     part = places[at : at + s.batch_size]
                     for k, (x, y) in enumerate(part):
                         patches[k] = pixels.tile(image, x, y, s.patch_size)
-                    for k, found in enumerate(detector.detect(patches, s.conf, s.classes)[: len(part)], at):
-                        out += [(*own, k, False, *places[k], *b) for b in found]
+                    for k, found in enumerate(found_by.detect(patches, s.conf, s.classes)[: len(part)], at):
+                        out += [(*own, False, *places[k], *b) for b in found]
                 if s.global_context:
                     size = s.context_size
-                    whole = detector.detect(pixels.resize(image, size, size)[None], s.conf, s.classes)[0]
-                    out += [(*own, len(places), True, 0, 0, *b) for b in whole]
-            yield pd.DataFrame(out, columns=names)
+                    whole = found_by.detect(pixels.resize(image, size, size)[None], s.conf, s.classes)[0]
+                    out += [(*own, True, 0, 0, *b) for b in whole]
+            yield pd.DataFrame(out, columns=names).astype({"is_global": "boolean", "x0": "Int32", "y0": "Int32", "cls": "Int32"})
 
-    names = [key, "fit_w", "fit_h", *(c.split()[0] for c in PATCH_BOXES.split(", "))]
+    names = [key, *(c.split()[0] for c in PATCH_BOXES.split(", "))]
     kind = images.schema[key].dataType.simpleString()
     fit = F.col("fit")
     sized = images.withColumns({"fit_w": fit["unpad_w"] + fit["left"] + fit["right"], "fit_h": fit["unpad_h"] + fit["top"] + fit["bottom"]})
     tiled = sized.withColumn("tiles", geometry.tiles(F.col("fit_w"), F.col("fit_h"), s.patch_size, s.min_overlap))
-    return tiled.select(key, "w", "h", "channels", "data", "fit", "tiles", "fit_w", "fit_h").mapInPandas(run, f"{key} {kind}, fit_w int, fit_h int, {PATCH_BOXES}")
+    return tiled.select(key, "w", "h", "channels", "data", "fit", "tiles", "fit_w", "fit_h").mapInPandas(run, f"{key} {kind}, {PATCH_BOXES}")
 
 
-def detect(images: DataFrame, detector: Detector, s: Settings, key: str = "path", buffer: tuple[int, int] | None = None) -> DataFrame:
-    """``key, rank, x1 .. cls`` of each image, in its own coordinates. ``buffer``: the size it is letterboxed to (else its own)."""
+def raw_boxes(images: DataFrame, detector: Detector, s: Settings, key: str = "path", buffer: tuple[int, int] | None = None) -> DataFrame:
+    """What :func:`patch_detections` finds in images letterboxed to ``buffer`` (else to the settings' size, else as they are)."""
     if buffer is None and s.resize is not None:
         buffer = s.resize
     w, h = F.col("w"), F.col("h")
@@ -63,15 +88,24 @@ def detect(images: DataFrame, detector: Detector, s: Settings, key: str = "path"
         fit = geometry.prepare(w, h, *buffer, resize=s.resize is not None)
     else:
         fit = F.struct(F.lit(1.0).alias("rx"), F.lit(1.0).alias("ry"), F.lit(0.0).alias("dw"), F.lit(0.0).alias("dh"), w.alias("unpad_w"), h.alias("unpad_h"), *(F.lit(0).alias(n) for n in ("top", "bottom", "left", "right")))
-    fitted = images.withColumn("fit", fit)
-    raw = patch_detections(fitted, key, detector, s)
-    tiled = raw.filter("not is_global").withColumns({c: F.col(c) + F.col("x0" if c[0] == "x" else "y0") for c in D.BOX[:4]})
-    whole = D.scale_global(raw.filter("is_global"), F.col("fit_w"), F.col("fit_h"), s.context_size)
-    both = tiled.unionByName(whole) if s.global_context else tiled
-    kept = D.nms(D.select_boxes(both, s.conf, s.classes), s.conf, s.iou, s.per_class, [key])
-    shapes = fitted.select(key, "w", "h", "fit")
-    back = {c: geometry.inverse_clamp(F.col(c), F.col("fit.dw" if c[0] == "x" else "fit.dh"), F.col("fit.rx" if c[0] == "x" else "fit.ry"), F.col("w" if c[0] == "x" else "h")) for c in D.BOX[:4]}
-    return kept.join(shapes, key).withColumns(back).select(key, "rank", *D.BOX)
+    return patch_detections(images.withColumn("fit", fit), key, detector, s)
+
+
+def finished(raw: DataFrame, s: Settings, key: str = "path") -> DataFrame:
+    """``key, rank, x1 .. cls`` in image coordinates. An image's size travels with its boxes, so one shuffle by image is all that moves."""
+    boxes = raw.filter("conf is not null")
+    moved = {
+        c: F.when(F.col("is_global"), F.col(c) * (F.col("fit_w" if c[0] == "x" else "fit_h") / float(s.context_size))).otherwise(F.col(c) + F.col("x0" if c[0] == "x" else "y0"))
+        for c in D.BOX[:4]
+    }
+    kept = D.nms_arrow(D.select_boxes(boxes.withColumns(moved), s.conf, s.classes), s.conf, s.iou, s.per_class, [key, *SHAPE])
+    back = {c: geometry.inverse_clamp(F.col(c), F.col("dw" if c[0] == "x" else "dh"), F.col("rx" if c[0] == "x" else "ry"), F.col("w" if c[0] == "x" else "h")) for c in D.BOX[:4]}
+    return kept.withColumns(back).select(key, "rank", *D.BOX)
+
+
+def detect(images: DataFrame, detector: Detector, s: Settings, key: str = "path", buffer: tuple[int, int] | None = None) -> DataFrame:
+    """``key, rank, x1 .. cls`` of each image, in its own coordinates."""
+    return finished(raw_boxes(images, detector, s, key, buffer), s, key)
 
 
 def predict(spark, image: np.ndarray, detector: Detector, s: Settings) -> list[list]:

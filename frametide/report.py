@@ -6,7 +6,7 @@ import json
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frametide.operators import sequences as S
@@ -66,3 +66,35 @@ def write_report(history: DataFrame, timings: DataFrame, queue: DataFrame, recor
         with open(path, "w", encoding="utf-8") as f:
             json.dump(body, f, indent=2)
     return Report(avg_fps, stable, lines, path)
+
+
+HISTORY = "run long, i long, t double, fps double"
+
+
+def history_of(spark: SparkSession, log: list[dict]) -> DataFrame:
+    """``run, i, t, fps`` of a run's batches: ``log`` has a row for each, with ``began, ended, frames``."""
+    began = min((b["began"] for b in log), default=0.0)
+    rows = [(0, i, b["ended"] - began, b["frames"] / max(b["ended"] - b["began"], 1e-9)) for i, b in enumerate(log)]
+    return spark.createDataFrame(rows, HISTORY)
+
+
+def of_run(spark: SparkSession, log: list[dict], seen: int, written: int, wall_s: float, settings, output: str | None = None) -> Report:
+    """The report of a live run from its batch log. A frame's latency is its batch's; reading and suppression are part of that."""
+    batches = spark.createDataFrame([(b["frames"], b["ended"] - b["began"]) for b in log], "frames long, seconds double")
+    each = batches.filter("frames > 0").select("frames", "seconds", F.explode(F.sequence(F.lit(1), F.col("frames"))))
+    taken = F.col("seconds") / F.col("frames")
+    none = F.lit(None).cast("double")
+    timings = each.select(taken.alias("total"), taken.alias("inference"), none.alias("nms"), none.alias("read"), none.alias("preprocess"), none.alias("visual"), F.lit(wall_s).alias("wall_s"))
+    ms = F.col("seconds") * 1000
+    records = each.select(ms.alias("dispatch_to_result_ms"), ms.alias("dispatch_to_write_ms"), (F.col("frames") - 1).alias("dispatch_backlog"), F.lit(0).alias("stale_frames"), F.lit(0.0).alias("stale_ms"))
+    emitted = sum(b["frames"] for b in log)
+    counters = [(seen, written, seen - emitted if settings.bounded_latency else 0, settings.input_fps_cap, None, settings.bounded_latency, settings.max_in_flight, settings.drop_policy)]
+    queue = spark.createDataFrame(counters, "frames_seen long, frames_written long, frames_dropped long, input_fps_cap double, loader_fps double, bounded_latency boolean, max_in_flight int, drop_policy string")
+    return write_report(history_of(spark, log), timings, queue, records, wall_s, output)
+
+
+def write_plot(history: DataFrame, path: str) -> None:
+    """What a plot of the run shows, as JSON: a row for each batch."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump([r.asDict() for r in plot_data(history, least=1).collect()], f, indent=2)

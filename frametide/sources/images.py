@@ -12,15 +12,15 @@ SCHEMA = "path string, w int, h int, channels int, data binary"
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """The images of a folder (not of its subfolders) by path, or the one image at ``path``; what can't be decoded is left out.
+    """The images of a folder (not of its subfolders), or the one image at ``path``; what can't be decoded is left out.
 
-    Spark decodes on the executors. The order is for the reader's convenience: a later shuffle need not keep it.
+    Spark decodes on the executors. Results are sorted by path where they are shown, not the pixels here.
     """
     rows = spark.read.format("image").option("dropInvalid", "true").load(path).select("image.*")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
         rows = rows.filter(is_image(F.col("origin")))
-    return rows.select(F.col("origin").alias("path"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("nChannels").alias("channels"), "data").orderBy("path")
+    return rows.select(F.col("origin").alias("path"), F.col("width").alias("w"), F.col("height").alias("h"), F.col("nChannels").alias("channels"), "data")
 
 
 def from_array(spark: SparkSession, image: np.ndarray, path: str = "memory") -> DataFrame:

@@ -38,7 +38,7 @@ def folder(tmp_path):
 
 
 def test_image_scan(spark, folder):
-    got = images.read_images(spark, str(folder)).collect()
+    got = images.read_images(spark, str(folder)).orderBy("path").collect()
     assert [os.path.basename(r.path) for r in got] == ["a.png", "b.PNG"] and (got[0].w, got[0].h) == (96, 64)
     assert images.read_images(spark, str(folder / "b.PNG")).count() == 1
 
@@ -48,7 +48,9 @@ def test_image_command(spark, folder, tmp_path):
     config.write_text(f"mode: image\nruntime:\n  patch_size: 64\n  min_overlap: 16\ninput: {folder}\n")
     assert cli.main(["-c", str(config), "-o", str(tmp_path / "out"), "-sj", "-rs", "96,64"]) == 0
     out = json.load(open(tmp_path / "out" / "detections.json"))
-    assert list(out) == ["b.PNG"] and out["b.PNG"][0][:4] == [32.0, 16.0, 48.0, 32.0]
+    assert list(out) == ["a.png", "b.PNG"] and out["a.png"] == [] and out["b.PNG"][0][:4] == [32.0, 16.0, 48.0, 32.0]
+    assert cli.main(["image", "-i", str(folder), "-o", str(tmp_path / "drawn"), "-sv", "-p", "64", "-mo", "16", "-rs", "96,64"]) == 0
+    assert sorted(os.listdir(tmp_path / "drawn")) == ["a.png", "b.png"]
 
 
 def npy_frames(path, n):
@@ -74,6 +76,70 @@ def test_video_command_and_sampling(spark, tmp_path):
     assert [d["frame_idx"] for d in json.load(open(tmp_path / "clip.json"))] == [1, 4]
 
 
+@pytest.mark.parametrize("policy, want", [("drop_oldest", [8, 9, 10, 11]), ("drop_newest", [0, 1, 2, 3]), ("latest_only", [11])])
+def test_drop_policies_change_a_run(spark, tmp_path, policy, want):
+    npy_frames(tmp_path / "clip", 12)
+    flags = ["--bounded-latency", "--max-in-flight", "4", "--drop-policy", policy]
+    assert cli.main(["video", "-i", str(tmp_path / "clip"), "-o", str(tmp_path), "-p", "64", "-mo", "16", "-sj", "-plot", *flags]) == 0
+    assert [d["frame_idx"] for d in json.load(open(tmp_path / "clip.json"))] == want
+    assert sum(r["fps"] > 0 for r in json.load(open(tmp_path / "clip_fps.json"))) >= 1
+
+
+def test_report_and_trace_of_a_run(spark, tmp_path, capsys):
+    npy_frames(tmp_path / "clip", 12)
+    assert cli.main(["video", "-i", str(tmp_path / "clip"), "-o", str(tmp_path), "-p", "64", "-mo", "16", "-sj", "--max-in-flight", "5"]) == 0
+    assert [d["frame_idx"] for d in json.load(open(tmp_path / "clip.json"))] == list(range(12))
+    said = capsys.readouterr().out
+    assert "Average FPS" in said and "12 seen, 12 written, 0 dropped" in said
+    assert json.load(open(tmp_path / "latency_trace_detailed.json"))["summary"]["dispatch_to_write_ms"]["count"] == 12
+
+
+def test_offsets_are_names(tmp_path):
+    npy_frames(tmp_path / "clip", 3)
+    reader = frames.FrameFolder({"path": str(tmp_path / "clip"), "rows": 2}).simpleStreamReader(None)
+    rows, end = reader.read(reader.initialOffset())
+    assert [i for i, _ in rows] == [0, 1]
+    np.save(tmp_path / "clip" / "00007.npy", np.zeros((4, 4, 3), np.uint8))
+    again = [i for i, _ in reader.readBetweenOffsets(reader.initialOffset(), end)]
+    rows, end = reader.read(end)
+    assert again == [0, 1] and [i for i, _ in rows] == [2, 7]
+    np.save(tmp_path / "clip" / "00001a0.npy", np.zeros((4, 4, 3), np.uint8))
+    assert [i for i, _ in reader.read(end)[0]] == []
+
+
+class Counting(BrightBlocks):
+    """Writes a line for each call and each load."""
+
+    def __init__(self, path):
+        super().__init__()
+        self.path = str(path)
+
+    def load(self):
+        with open(self.path, "a") as f:
+            f.write("load\n")
+
+    def detect(self, patches, conf, classes):
+        with open(self.path, "a") as f:
+            f.write("detect\n")
+        return super().detect(patches, conf, classes)
+
+
+def test_each_patch_is_seen_once(spark, tmp_path):
+    from pyspark import cloudpickle
+
+    import test_sources
+    from frametide.plans.detect import detect
+
+    cloudpickle.register_pickle_by_value(test_sources)
+    image = np.zeros((64, 64, 3), np.uint8)
+    image[16:32, 16:32] = 255
+    rows = images.from_array(spark, image)
+    found = detect(rows, Counting(tmp_path / "calls"), Settings(patch_size=64, min_overlap=16, global_context=True, conf=0.3)).collect()
+    assert [(r.x1, r.y1, r.x2, r.y2) for r in found] == [(16.0, 16.0, 32.0, 32.0)]
+    calls = open(tmp_path / "calls").read().split()
+    assert calls.count("detect") == 2 and calls.count("load") == 1
+
+
 def test_missing_source():
     with pytest.raises(ValueError):
         frames.FrameFolder({"path": "/nowhere/at/all"}).simpleStreamReader(None)
@@ -122,7 +188,7 @@ def test_api(spark, folder, tmp_path):
         out = d.predict_image(str(folder), str(tmp_path / "out"), save_json=True, save=True)
         assert {os.path.basename(k): len(v) for k, v in out.items()} == {"a.png": 0, "b.PNG": 1}
         assert sorted(os.listdir(tmp_path / "out")) == ["a.png", "b.png", "detections.json"]
-        drawn = images.read_images(spark, str(tmp_path / "out")).collect()[1]
+        drawn = images.read_images(spark, str(tmp_path / "out")).orderBy("path").collect()[1]
         assert np.frombuffer(drawn.data, np.uint8).reshape(64, 96, 3)[16, 32].tolist() == [0, 0, 255]
         image = np.zeros((64, 96, 3), np.uint8)
         image[16:32, 32:48] = 255
