@@ -2,55 +2,51 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frametide.scratch import deleted, shared_folder
+
 #: ASCII white space, as the contracts of the quality rules and SimHash define words.
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 #: What separates words for exact phrase search: every ASCII character but digits and lower-case letters.
 PHRASE_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_OWN_SCRATCH: dict[str, str] = {}
-_SCOPES: list[list[str]] = []
+_LOCAL = threading.local()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_SCRATCH:
-        _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="frametide-")
-    return _OWN_SCRATCH[app]
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_dir(spark)}/frametide/{name}-{uuid.uuid4().hex}"
-    if _SCOPES:
-        _SCOPES[-1].append(path)
+    path = f"{shared_folder(spark)}/frametide/{name}-{uuid.uuid4().hex}"
+    if _scopes():
+        _scopes()[-1].append(path)
     return path
 
 
+def _scopes() -> list[list[str]]:
+    """Of this thread: queries that run side by side don't delete each other's tables."""
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
+
+
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Scratch tables that are made inside are deleted at the end; what is to outlive it is written elsewhere or before."""
-    _SCOPES.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        dropped(spark, *_SCOPES.pop())
+        dropped(spark, *_scopes().pop())
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -67,18 +63,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def dropped(spark: SparkSession, *paths: str) -> None:
     """Delete scratch tables that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean_own() -> None:
-    import shutil
-
-    for path in _OWN_SCRATCH.values():
-        shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+    deleted(spark, *paths)
 
 
 def stretches(text, size: int, spaces) -> Iterator:

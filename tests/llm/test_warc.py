@@ -17,9 +17,9 @@ def digest(t):
 
 def test_round_trip(spark, tmp_path):
     rows = [(1, "http://a", BIG), (2, None, BIG), (3, "http://a b\r\nX: 1", "é" * 999), (4, "u", None), (5, "u", ODD), (7, "u", ODD), (7, "u", ODD), (8, "u", "short"), (9, "u", "short"), (None, "u", BIG), (None, "u", "é" * 500), (10, "u", "y" * 1000), (11, "u", "y" * 1000), (12, "u", "z" * 999), (13, "u", "z" * 999)]
-    path = f"file://{tmp_path}/w"
-    W.write(spark.createDataFrame([(*r, "d", "p") for r in rows], SCHEMA), path)
-    for chunk in (1, 7, 700, 1 << 20):
+    for chunk, segment in ((1, 400), (7, W.SEGMENT), (700, 999), (1 << 20, 250), (1 << 20, W.SEGMENT)):
+        path = f"file://{tmp_path}/w{chunk}-{segment}"
+        W.write(spark.createDataFrame([(*r, "d", "p") for r in rows], SCHEMA), path, segment=segment)
         rows_read = W.read(spark, path, chunk=chunk)
         got = {}
         for r in W.resolved(W.by_record(rows_read)).collect():
@@ -30,6 +30,7 @@ def test_round_trip(spark, tmp_path):
             same = [j for j, _, x in rows if x == t and j is not None]
             again = n >= 1000 and same and i != max(same)
             want.setdefault("null" if i is None else str(i), []).append(("revisit" if again else "response", str(max(same)) if again else None, n, digest(t)))
+        assert W.by_record(rows_read).filter("not complete or not digest_ok").count() == 0
         assert {k: sorted(v, key=str) for k, v in got.items()} == {k: sorted(v, key=str) for k, v in want.items()}
     whole = rows_read.filter("record_type = 'response'").groupBy("archive", "record").agg(F.array_sort(F.collect_list(F.struct("chunk", "data"))).alias("c"), F.first("stated_digest").alias("d"))
     for r in whole.collect():
@@ -48,7 +49,12 @@ def test_chunks_are_bounded_and_digests_grow(spark):
 def test_odd_archives():
     assert list(W.chunks(io.BytesIO(b""))) == [] and list(W.chunks(io.BytesIO(b"\r\n\r\n"))) == []
     cut = b"WARC/1.0\r\nWARC-Record-ID: <a>\r\nContent-Length: 100\r\n\r\nabc"
-    assert [(r["record_id"], r["data"]) for r in W.chunks(io.BytesIO(cut))] == [("a", b"abc")]
+    assert [(r["record_id"], r["data"], r["complete"]) for r in W.chunks(io.BytesIO(cut))] == [("a", b"abc", False)]
+    whole = b"WARC/1.0\r\nWARC-Record-ID: <a>\r\nWARC-Segment-Number: 1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [r["complete"] for r in W.chunks(io.BytesIO(whole))] == [False]  # further segments are missing
+    more = b"WARC/1.0\r\nWARC-Type: continuation\r\nWARC-Record-ID: <b>\r\nWARC-Segment-Origin-ID: <a>\r\nWARC-Segment-Number: 2\r\nWARC-Segment-Total-Length: 5\r\nContent-Length: 2\r\n\r\nde\r\n\r\n"
+    assert [(r["record"], r["data"], r["total"], r["complete"]) for r in W.chunks(io.BytesIO(whole + more))] == [(0, b"abcde", 5, True)]
+    assert [r["record_id"] for r in W.chunks(io.BytesIO(more))] == ["b"]
     with pytest.raises(ValueError):
         list(W.chunks(io.BytesIO(b"x" * (W.HEADER_BYTES + W.READ * 2))))
 
