@@ -3,8 +3,12 @@
 Each document is measured by built-in functions alone; rule failures are counted by host, the hosts' failure rates are
 shrunk towards the corpus by an empirical beta prior, and the verdict on a host is joined back to its documents.
 
+A host is judged against the fitted prior: it is rejected where its shrunk rate is more than ``SIGMAS`` of the prior's standard deviations
+above the prior's mean, but never at ``LEAST_RATE`` or less and always above ``MAX_HOST_RATE``.
+
 Defined results: a null text has no words and fails; a null host is a host of its own whose verdict is always good; an
-empty table gives an empty table; repeated rows are judged one by one; extra columns pass through untouched.
+empty table gives an empty table; repeated rows are judged one by one; a very long text is measured in its own row, in time that
+grows as sorting its windows does; extra columns, whatever their names, are not read by :func:`judge` and pass through :func:`keep_good`.
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ from frametide.llm.common import free_name, indices, let, space_words, table, wr
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-#: A host is rejected when the shrunk share of its documents that fail a rule is above this.
-MAX_HOST_RATE = 0.5
+#: A host is rejected when the shrunk share of its documents that fail a rule is so far above the prior's mean,
+SIGMAS = 3.0
+#: but not at this or less, and above that whatever the prior.
+LEAST_RATE, MAX_HOST_RATE = 0.3, 0.5
 #: The prior weighs at least as much as so many documents, so that one failure doesn't reject a host.
-LEAST_PRIOR = 2.0
+LEAST_PRIOR = 4.0
 SYMBOLS = "#*$%&|<>"
 
 
@@ -104,16 +110,21 @@ def any_failed(m: Column) -> Column:
 def host_verdicts(judged: DataFrame, host: str, failed: str) -> DataFrame:
     """One row per host: ``host, n_docs, n_failed, host_rate, host_ok``. ``host_rate`` is shrunk by a beta prior.
 
-    The prior's mean and strength come from the hosts' rates by moments: mean m and variance v of the rates give
+    The prior is fitted by moments. Its mean m is the corpus rate; its variance is what the hosts' rates vary, weighted by their documents,
+    less what binomial chance alone makes of it: (S - m (1 - m) (H - 1)) / (N - sum n^2 / N - (H - 1)) with S = sum n (f / n - m)^2. Then
     a + b = m (1 - m) / v - 1, at least ``LEAST_PRIOR``. Only this one row of prior figures reaches the driver.
     """
     hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
-    hosts = hosts.withColumn("rate", F.col("n_failed") / F.col("n_docs"))
-    prior = hosts.agg(F.avg("rate").alias("m"), F.var_pop("rate").alias("v")).first()
-    m, v = prior["m"] or 0.0, prior["v"] or 0.0
-    strength = max(LEAST_PRIOR, m * (1 - m) / v - 1) if v > 0 else LEAST_PRIOR
+    n, f = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    p = hosts.agg(F.sum(n).alias("n"), F.sum(f).alias("f"), F.count("*").alias("h"), F.sum(n * n).alias("nn"), F.sum(f * f / n).alias("ff")).first()
+    total = p["n"] or 1.0
+    m = (p["f"] or 0.0) / total
+    spread, base = (p["ff"] or 0.0) - total * m * m, total - (p["nn"] or 0.0) / total - (p["h"] - 1)
+    v = max(0.0, (spread - m * (1 - m) * (p["h"] - 1)) / base) if base > 0 else 0.0
+    strength = max(LEAST_PRIOR, m * (1 - m) / v - 1) if v > 0 else max(LEAST_PRIOR, total)
+    limit = min(MAX_HOST_RATE, max(LEAST_RATE, m + SIGMAS * v**0.5))
     shrunk = (F.col("n_failed") + m * strength) / (F.col("n_docs") + strength)
-    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (F.col("host").isNull() | (shrunk <= MAX_HOST_RATE)).alias("host_ok"))
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("host_rate"), (F.col("host").isNull() | (shrunk <= limit)).alias("host_ok"))
 
 
 def _with_verdicts(judged: DataFrame, host: str, failed: str) -> tuple[DataFrame, str, str]:
@@ -181,10 +192,12 @@ WITH d AS (
             OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS bad FROM j
 ), h AS (
   SELECT source, count(*) AS n, count(*) FILTER (WHERE bad) AS f FROM k GROUP BY source
-), p AS (
-  SELECT mm AS m, CASE WHEN v > 0 THEN greatest(2.0, mm * (1 - mm) / v - 1) ELSE 2.0 END AS s
-  FROM (SELECT avg(f / n) AS mm, var_pop(f / n) AS v FROM h)
-), hv AS (SELECT source, (f + m * s) / (n + s) <= 0.5 AS ok FROM h, p)
+), q AS (
+  SELECT sum(n) AS n, sum(f) / sum(n) AS m, count(*) AS h, sum(n * n) AS nn, sum(f * f / n) AS ff FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(f AS DOUBLE) AS f FROM h)
+), e AS (SELECT *, n - nn / n - (h - 1) AS base, ff - n * m * m - m * (1 - m) * (h - 1) AS over_ FROM q
+), g AS (SELECT *, CASE WHEN base > 0 THEN greatest(0.0, over_ / base) ELSE 0.0 END AS v FROM e
+), p AS (SELECT m, v, CASE WHEN v > 0 THEN greatest(4.0, m * (1 - m) / v - 1) ELSE greatest(4.0, n) END AS s, least(0.5, greatest(0.3, m + 3.0 * sqrt(v))) AS lim FROM g
+), hv AS (SELECT source, (f + m * s) / (n + s) <= lim AS ok FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(hv.ok, true) AS kept
 FROM k LEFT JOIN hv ON hv.source = k.source

@@ -1,3 +1,4 @@
+import random
 import re
 
 from frametide.llm import quality
@@ -59,3 +60,21 @@ def test_empty_and_single_host(spark):
     assert quality.judge(df).count() == 0 and quality.keep_good(df).count() == 0
     one = spark.createDataFrame([(1, LONG, "s", 0, "x"), (1, LONG, "s", 0, "x")], SCHEMA)
     assert [r.kept for r in quality.judge(one).collect()] == [True, True]
+
+
+def test_query_and_sql_where_hosts_decide(spark, tmp_path):
+    """One host in thirty fails far more often than the prior allows; small hosts are shrunk."""
+    import duckdb
+
+    rng = random.Random(2)
+    good, bad = "a text of more than ten plain words that is fine as it stands number {}", "# $ % & a text of ten and some words that is full of symbols {}"
+    rows = [(1000 * h + i, (bad if rng.random() < (0.45 if h == 7 else 0.1) else good).format(i), f"h{h}") for h in range(30) for i in range(60)]
+    rows += [(90_000, bad.format(1), "small"), (90_001, "too short", "h1"), (90_002, bad.format(2), None), (90_003, None, "h2")]
+    spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, m int, host_ok__ string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = quality.query(spark, str(tmp_path))
+    want = c.execute(f"SELECT {', '.join(got.columns)} FROM ({quality.ORACLE})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    gone = {r.doc_id // 1000 for r in got.collect() if not r.kept and not r.base_failed}
+    assert gone == {7}
