@@ -1,15 +1,19 @@
 """Power-of-two packing.
 
 A document's ids are cut into pieces of ``MAX_TOKENS`` and then of the binary digits of the rest, largest first; every
-piece is a sequence of its own, of a power-of-two length, so no sequence crosses documents and nothing is padded. Batches
-are formed from one bucket (one length) at a time: :func:`write_buckets` lays the pieces out by length.
+piece is a sequence of its own, of a power-of-two length, so no sequence crosses documents and nothing is padded.
+
+Equal lengths are bucketed: sequences are numbered within their bucket, whose number (the power of two) leads a sequence's id, and each
+task puts out its pieces bucket by bucket, so that files hold each bucket as one run of rows and a batch of equal lengths is read
+from neighbouring rows. :func:`write_buckets` makes a folder of each bucket.
 
 Documents are encoded word by word with a bounded memory of known words, which gives the tokenizer's own ids: its model
 works on one pre-token at a time. Texts with characters outside the plain set go through the tokenizer's own normalizer and
 pre-tokenizer, and texts that hold a special token through the tokenizer as a whole.
 
 Defined results: a null or empty text is the end id alone, one piece of length one; repeated rows and ids give separate
-sequences; a null id is kept; an empty table gives no pieces; other columns are not read.
+sequences; a null id is kept; a very long text is encoded a stretch at a time, unless it holds a special token; pieces of one length are in
+the order of the table; an empty table gives no pieces; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -103,7 +107,8 @@ def _packer(path: str, longest: int, end_id: int, with_ids: bool):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, end = WordEncoder(path), np.array([end_id], dtype="<u4").tobytes()
-        sequence = TaskContext.get().partitionId() << 40  # a partition numbers its own sequences
+        # a partition numbers its own sequences, in each bucket: 4 bits of the bucket, 23 of the partition, 36 of the number
+        numbers = [k << 59 | TaskContext.get().partitionId() << 36 for k in range(longest.bit_length())]
 
         def flush() -> pa.RecordBatch:
             arrays = [pa.array(x, t) for x, t in zip(out, types)]
@@ -111,8 +116,8 @@ def _packer(path: str, longest: int, end_id: int, with_ids: bool):
                 x.clear()
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        types = [pa.int64()] * 7
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"]
+        types = [*[pa.int64()] * 7, pa.int32()]
         if with_ids:
             names, types = [*names, "ids"], [*types, pa.binary()]
         out: list[list] = [[] for _ in names]
@@ -123,11 +128,12 @@ def _packer(path: str, longest: int, end_id: int, with_ids: bool):
                 doc, total, start = doc_id.as_py(), len(ids) // 4, 0
                 for length in pieces(total, longest):
                     part = ids[4 * start : 4 * (start + length)]
-                    row = (doc, start, length, zlib.crc32(part), total, sequence, 0)
+                    bucket = length.bit_length() - 1
+                    row = (doc, start, length, zlib.crc32(part), total, numbers[bucket], 0, bucket)
                     for column, value in zip(out, (*row, part) if with_ids else row):
                         column.append(value)
                     start += length
-                    sequence += 1
+                    numbers[bucket] += 1
                 held += len(ids)
                 if len(out[0]) >= 10_000 or held > 1 << 25:
                     held = 0
@@ -139,16 +145,16 @@ def _packer(path: str, longest: int, end_id: int, with_ids: bool):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", longest: int = MAX_TOKENS, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, with ``with_ids``, ``ids``.
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket`` and, with ``with_ids``, ``ids``.
 
-    ``length`` is the bucket. ``ids`` are unsigned little-endian 32-bit. The path must be readable on every executor. No
+    ``length`` is 2 to the power of ``bucket``. Rows are in order of their sequences within each partition. ``ids`` are unsigned little-endian 32-bit. The path must be readable on every executor. No
     shuffle: a task packs the documents it reads, so a lost task is simply run again and numbers the same sequences.
     """
-    if longest & (longest - 1) or longest < 1:
-        raise ValueError("longest must be a power of two")
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+    if longest & (longest - 1) or not 1 <= longest <= 1 << 15:
+        raise ValueError("longest must be a power of two, and 32768 at most")
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + ", ids binary" * with_ids
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(_packer(tokenizer_path, longest, end_id, with_ids), schema)
+    return slim.mapInArrow(_packer(tokenizer_path, longest, end_id, with_ids), schema).sortWithinPartitions("sequence_id")
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:
