@@ -20,7 +20,7 @@ their names.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +36,8 @@ NEAR = 0.35
 SENT_LINES = 2_000_000
 #: Of Spark's ``xxhash64``.
 SEED = 42
+#: Documents whose lines a worker holds at once.
+STEP = 256
 
 
 def lines(docs: DataFrame, id_col: str, text: str, site: str) -> DataFrame:
@@ -85,31 +87,46 @@ def _in_place(spread: DataFrame):
     sent = spread.sparkSession.sparkContext.broadcast(tuple(rows[c].to_numpy(np.int64) for c in ("h1", "h2", "id", "pos")))
     line_seed = xxhash.xxh64_intdigest(b"line", SEED)
 
-    @F.pandas_udf("text string, removed long")
-    def cut(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        h1, h2, first_id, first_pos = sent.value
-        digest = xxhash.xxh64_intdigest
-        own = [None if x is None else x.encode("utf-8", "surrogatepass").split(b"\n") for x in texts]
-        sizes = np.array([len(x or ()) for x in own], dtype=np.int64)
-        hashes = np.fromiter((digest(y, SEED) for x in own for y in x or ()), dtype=np.uint64, count=int(sizes.sum())).view(np.int64)
-        at = np.searchsorted(h1, hashes)
-        hits = np.flatnonzero(h1[np.minimum(at, len(h1) - 1)] == hashes) if len(h1) else ()
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        gone: dict[int, set[int]] = {}
-        for i in hits:
-            doc = int(np.searchsorted(starts, i, side="right")) - 1
-            pos, k = int(i - starts[doc]), int(at[i])
-            second = np.uint64(digest(own[doc][pos], line_seed)).view(np.int64)
-            while k < len(h1) and h1[k] == hashes[i]:
-                if h2[k] == second and not (first_id[k] == ids.iat[doc] and first_pos[k] == pos):
-                    gone.setdefault(doc, set()).add(pos)
-                k += 1
-        out = texts.copy()
-        for doc, places in gone.items():
-            out.iat[doc] = b"\n".join(x for j, x in enumerate(own[doc]) if j not in places).decode("utf-8", "surrogatepass")
-        return pd.DataFrame({"text": out, "removed": [len(gone.get(i, ())) for i in range(len(texts))]})
-
-    return cut
+    @F.arrow_udf("text string, removed long")
+    def cut(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        parts, counts = [], []
+        for at in range(0, len(texts), STEP):
+            part = texts.slice(at, STEP)
+            gone = _gone(sent.value, line_seed, ids.slice(at, STEP).to_numpy(zero_copy_only=False), part)
+            if gone:
+                kept = part.to_pylist()
+                for doc, places in gone.items():
+                    kept[doc] = "\n".join(x for j, x in enumerate(kept[doc].split("\n")) if j not in places)
+                part = pa.array(kept, texts.type)
+            parts.append(part)
+            counts += [len(gone.get(i, ())) for i in range(len(part))]
+        return pa.StructArray.from_arrays([pa.concat_arrays(parts) if parts else texts, pa.array(counts, pa.int64())], names=["text", "removed"])
+
+    return cut.asNondeterministic()  # else a filter on what it returns would run it twice
+
+
+def _gone(sent: tuple[np.ndarray, ...], line_seed: int, ids: np.ndarray, texts: pa.Array) -> dict[int, set[int]]:
+    """The places of lines to remove, by row. ``sent``: of boilerplate lines the two hashes, and the id's hash and place that keep each."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    h1, h2, first_id, first_pos = sent
+    own = [x.as_buffer().to_pybytes().split(b"\n") if x.is_valid else () for x in texts]
+    sizes = np.array([len(x) for x in own], dtype=np.int64)
+    hashes = np.fromiter((digest(y, SEED) for x in own for y in x), dtype=np.uint64, count=int(sizes.sum())).view(np.int64)
+    at = np.searchsorted(h1, hashes)
+    hits = np.flatnonzero(h1[np.minimum(at, len(h1) - 1)] == hashes) if len(h1) else ()
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    gone: dict[int, set[int]] = {}
+    for i in hits:
+        doc = int(np.searchsorted(starts, i, side="right")) - 1
+        pos, k = int(i - starts[doc]), int(at[i])
+        second = np.uint64(digest(own[doc][pos], line_seed)).view(np.int64)
+        while k < len(h1) and h1[k] == hashes[i]:
+            if h2[k] == second and not (first_id[k] == ids[doc] and first_pos[k] == pos):
+                gone.setdefault(doc, set()).add(pos)
+            k += 1
+    return gone
 
 
 def without(text: Column, gone: Column) -> Column:
