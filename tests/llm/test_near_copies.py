@@ -55,9 +55,10 @@ def planted():
     return list(zip(order, texts)) + [(None, texts[1]), (None, "lonely"), (order[5], texts[5])]
 
 
-@pytest.mark.parametrize("back", [2, 1])
-def test_components_against_brute_force(spark, monkeypatch, back):
+@pytest.mark.parametrize("back, block", [(2, 16_384), (1, 16_384), (1, 7)])
+def test_components_against_brute_force(spark, monkeypatch, back, block):
     monkeypatch.setattr(N, "BACK", back)
+    monkeypatch.setattr(N, "BLOCK", block)
     rows = planted()
     got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     hashes = {r.text: r.h for r in spark.createDataFrame(rows, SCHEMA).selectExpr("text", "xxhash64(text) h").collect()}
@@ -77,6 +78,42 @@ def test_stage_takes_pairs_that_differ_in_more_than_four_bits(spark):
     assert sorted(r.doc_id for r in got.collect()) == list(range(1, 24, 2))
 
 
+def test_sketches_leave_each_similar_pair_possible():
+    rng = np.random.default_rng(4)
+    lost = kept = 0
+    for size in (3, 40, 300, 5000):
+        sets = [np.empty(0, np.uint64)]
+        base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        for share in np.linspace(0.5, 1, 40):
+            own = rng.integers(0, 1 << 63, size - int(share * size), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate((base[: int(share * size)], own))))
+        n, x = np.array([len(s) for s in sets]), np.array([np.frombuffer(N.odd_sketch(s), np.uint64) for s in sets])
+        near = N._possible(n, x, n, x)
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            similar = 5 * both >= 4 * (n[i] + n[j] - both)
+            lost += similar and not near[i, j]
+            kept += size == 300 and not similar and near[i, j]
+    assert lost == 0 and kept < 40  # of 820 pairs of 300 hashes few that are not similar pass
+
+
+def test_pairs_across_are_those_between_roots_whatever_the_block(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.getrandbits(30)}" for _ in range(150)]
+    texts = [changed(rng, base, rng.randrange(1, 6)) for _ in range(60)]
+    sets = [N.distinct(t) for t in texts]
+    nodes = list(range(60))
+    bands = spark.createDataFrame([(i, len(sets[i]), [1, 2 + i % 2]) for i in nodes], "node long, size int, keys array<long>")
+    found = spark.createDataFrame([(i, bytearray(N.odd_sketch(sets[i]))) for i in nodes], "node long, odd binary")
+    of = spark.createDataFrame([(i, i // 4) for i in nodes], "node long, root long")
+    got = []
+    for block in (16_384, 7):
+        monkeypatch.setattr(N, "BLOCK", block)
+        got.append(sorted(map(tuple, N.across(bands, found, of).collect())))
+    similar = {(i, j) for i, j in itertools.combinations(nodes, 2) if i // 4 != j // 4 and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert got[0] == got[1] and similar and similar <= set(got[0])
+
+
 def test_stretches(monkeypatch):
     texts = ["a bb ccc dddd eeeee ff g hhh", "one", "", "x" * 200 + " y z", " " * 99 + "a b c d e f" + " " * 99]
     whole = [np.concatenate([[], *N.shingle_hashes(t)]).tolist() for t in texts]
