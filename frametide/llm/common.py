@@ -18,6 +18,9 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 PHRASE_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows that a Python worker is handed at once. A batch of texts lies in the JVM's and the worker's memory, more than once in either.
+BATCH_ROWS = 1000
+
 _LOCAL = threading.local()
 
 
@@ -49,6 +52,18 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         dropped(spark, *_scopes().pop())
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is run inside hands at most ``BATCH_ROWS`` rows at once to Python workers; a smaller setting of the session stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it again.
 
@@ -57,7 +72,8 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
