@@ -87,7 +87,7 @@ def test_sketches_leave_each_similar_pair_possible():
         for share in np.linspace(0.5, 1, 40):
             own = rng.integers(0, 1 << 63, size - int(share * size), dtype=np.uint64)
             sets.append(np.unique(np.concatenate((base[: int(share * size)], own))))
-        n, x = np.array([len(s) for s in sets]), np.array([np.frombuffer(N.odd_sketch(s), np.uint64) for s in sets])
+        n, x = np.array([len(s) for s in sets]), np.array([N.odd_sketch(s) for s in sets])
         near = N._possible(n, x, n, x)
         for i, j in itertools.combinations(range(len(sets)), 2):
             both = len(np.intersect1d(sets[i], sets[j]))
@@ -103,13 +103,16 @@ def test_pairs_across_are_those_between_roots_whatever_the_block(spark, monkeypa
     texts = [changed(rng, base, rng.randrange(1, 6)) for _ in range(60)]
     sets = [N.distinct(t) for t in texts]
     nodes = list(range(60))
-    bands = spark.createDataFrame([(i, len(sets[i]), [1, 2 + i % 2]) for i in nodes], "node long, size int, keys array<long>")
-    found = spark.createDataFrame([(i, bytearray(N.odd_sketch(sets[i]))) for i in nodes], "node long, odd binary")
+    bands = spark.createDataFrame([(i, [1, 2 + i % 2]) for i in nodes], "node long, keys array<long>")
+    found = spark.createDataFrame([(i, len(sets[i]), N.odd_sketch(sets[i]).tolist()) for i in nodes], "node long, size long, odd array<long>")
     of = spark.createDataFrame([(i, i // 4) for i in nodes], "node long, root long")
     got = []
     for block in (16_384, 7):
         monkeypatch.setattr(N, "BLOCK", block)
         got.append(sorted(map(tuple, N.across(bands, found, of).collect())))
+    pairs = [(i, j) for i, j in itertools.combinations(nodes, 2) if i // 4 != j // 4 and not (i - j) % 2]
+    by_columns = sorted(map(tuple, N.possible(spark.createDataFrame(pairs, "a long, b long"), found).collect()))
+    assert by_columns == [x for x in got[0] if not (x[0] - x[1]) % 2]  # the column form is the same rule
     similar = {(i, j) for i, j in itertools.combinations(nodes, 2) if i // 4 != j // 4 and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))}
     assert got[0] == got[1] and similar and similar <= set(got[0])
 
