@@ -53,7 +53,7 @@ class TiledDetector:
         s = self._with(settings)
         rows = images.read_images(self.spark, path)
         raw = plan.raw_boxes(rows, self.detector, s, buffer=s.resize or BUFFER).persist()  # boxes, not pixels: each image is decoded and seen once
-        found, listed = plan.finished(raw, s), raw.filter("conf is null")
+        found, listed = plan.finished(raw), raw.filter("conf is null")
         if output and s.save_json:
             sinks.write_image_map(D.image_documents(listed, found), os.path.join(output, "detections.json"))
         if output and s.save:

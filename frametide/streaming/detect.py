@@ -24,7 +24,7 @@ def documents(frames: DataFrame, detector: Detector, s: Settings) -> tuple[DataF
     Boxes and the list of frames come from one pass over the pixels.
     """
     raw = raw_boxes(frames.withColumnRenamed("source_idx", "frame_idx"), detector, s, key="frame_idx").persist()
-    return D.frame_documents(raw.filter("conf is null"), finished(raw, s, key="frame_idx")).orderBy("frame_idx"), raw
+    return D.frame_documents(raw.filter("conf is null"), finished(raw, key="frame_idx")).orderBy("frame_idx"), raw
 
 
 def run(frames: DataFrame, detector: Detector, s: Settings, sink: Callable[[DataFrame, int], None], checkpoint: str, drain: bool = True, log: list[dict] | None = None) -> StreamingQuery:

@@ -89,3 +89,45 @@ def test_detect_plan_places_boxes_once(spark):
     assert {r.path for r in whole} == {"a"}
     boxes = predict(spark, image, BrightBlocks(), Settings(patch_size=64, min_overlap=16, resize=(320, 192)))
     assert boxes and all(80 <= b[0] <= 120 and 24 <= b[1] <= 56 for b in boxes)
+
+
+def test_suppressed_gives_the_rows_of_nms(spark):
+    rng = random.Random(11)
+    rows = []
+    for f in range(30):
+        for _ in range(rng.randrange(25)):
+            x, y, side = rng.randrange(40), rng.randrange(40), rng.randrange(1, 30)
+            rows.append((f, float(x), float(y), float(x + side), float(y + side), rng.randrange(1, 20) / 20, rng.randrange(3)))
+    df = spark.createDataFrame(rows, BOXES)
+    for per_class in (False, True):
+        kept, rank = D.suppressed(np.array([r[0] for r in rows]), np.array([r[1:] for r in rows]), 0.45, per_class)
+        want = D.nms(df, 0.0, 0.45, per_class).select("frame_idx", "rank", *D.BOX).collect()
+        assert sorted((rows[k][0], int(r), *rows[k][1:]) for k, r in zip(kept, rank)) == sorted(map(tuple, want))
+    kept, rank = D.suppressed(np.empty(0, np.int64), np.empty((0, 6)))
+    assert len(kept) == len(rank) == 0
+
+
+def test_small_images_share_a_batch_and_move_nowhere(spark, tmp_path):
+    from frametide.detector import BrightBlocks
+    from frametide.plans.detect import detect
+    from frametide.settings import Settings
+
+    calls = tmp_path / "calls"
+
+    class Counting(BrightBlocks):
+        def detect(self, patches, conf, classes):
+            with open(str(calls), "a") as f:
+                f.write(f"{len(patches)} ")
+            return super().detect(patches, conf, classes)
+
+    image = np.zeros((64, 64, 3), np.uint8)
+    image[16:32, 16:32] = 255
+    grey = np.full((64, 64, 1), 200, np.uint8)
+    rows = [(i, 64, 64, 3, bytearray(image.tobytes())) for i in (1, 2, 3, 3)] + [(4, 64, 64, 1, bytearray(grey.tobytes())), (5, 64, 64, 3, bytearray(64 * 64 * 3))]
+    df = spark.createDataFrame(rows, "frame_idx long, w int, h int, channels int, data binary").coalesce(1)
+    found = detect(df, Counting(), Settings(patch_size=64, min_overlap=16), key="frame_idx")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    assert sorted((r.frame_idx, r.rank, r.x1, r.y1) for r in got if r.frame_idx < 4) == [(1, 0, 16.0, 16.0), (2, 0, 16.0, 16.0), (3, 0, 16.0, 16.0), (3, 0, 16.0, 16.0)]  # rows of one key are images of their own
+    assert sorted(r.rank for r in got if r.frame_idx == 4) == list(range(16)) and not [r for r in got if r.frame_idx == 5]
+    assert calls.read_text().split() == ["8"] * 3  # a change of channels begins a batch
