@@ -131,3 +131,16 @@ def test_small_images_share_a_batch_and_move_nowhere(spark, tmp_path):
     assert sorted((r.frame_idx, r.rank, r.x1, r.y1) for r in got if r.frame_idx < 4) == [(1, 0, 16.0, 16.0), (2, 0, 16.0, 16.0), (3, 0, 16.0, 16.0), (3, 0, 16.0, 16.0)]  # rows of one key are images of their own
     assert sorted(r.rank for r in got if r.frame_idx == 4) == list(range(16)) and not [r for r in got if r.frame_idx == 5]
     assert calls.read_text().split() == ["8"] * 3  # a change of channels begins a batch
+
+
+def test_whole_frames_are_seen_one_by_one_and_move_nowhere(spark):
+    from frametide.detector import BrightBlocks
+    from frametide.plans.detect import detect
+    from frametide.settings import Settings
+
+    bright = np.full((64, 64, 3), 200, np.uint8)
+    df = spark.createDataFrame([(i, 64, 64, 3, bytearray(bright.tobytes())) for i in (1, 2)], "frame_idx long, w int, h int, channels int, data binary").coalesce(1)
+    found = detect(df, BrightBlocks(), Settings(patch_size=64, min_overlap=16, global_context=True, global_size=16, iou=1.0), key="frame_idx")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.frame_idx, r.rank, r.x2 - r.x1) for r in found.collect())
+    assert [(f, k) for f, k, _ in got] == [(f, k) for f in (1, 2) for k in range(17)] and [w for _, _, w in got].count(64.0) == 2
