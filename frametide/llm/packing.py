@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.llm.common import stretches, table
+from frametide.llm.common import frugal, stretches, table
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str
         raise ValueError("longest must be a power of two, and 32768 at most")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + ", ids binary" * with_ids
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return slim.mapInArrow(_packer(tokenizer_path, longest, end_id, with_ids), schema).sortWithinPartitions("sequence_id")
+    return slim.mapInArrow(frugal(_packer(tokenizer_path, longest, end_id, with_ids)), schema).sortWithinPartitions("sequence_id")
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frametide.llm.common import free_name, scratch_path, scratch_scope, stretches, table, written
+from frametide.llm.common import free_name, frugal, scratch_path, scratch_scope, stretches, table, written
 from frametide.llm.components import components
 
 SHINGLE = 4
@@ -274,14 +274,14 @@ def _by_key(rows: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """``a, b``: links between distinct fingerprints (column ``fp``, distinct) that keep every component whole."""
-    keys = prints.select("fp").mapInArrow(_key_rows, "key long, fp long")
-    found, _ = written(_by_key(keys).mapInArrow(_links, "a long, b long").distinct(), "links-and-large")
+    keys = prints.select("fp").mapInArrow(frugal(_key_rows), "key long, fp long")
+    found, _ = written(_by_key(keys).mapInArrow(frugal(_links), "a long, b long").distinct(), "links-and-large")
     large, _ = written(found.filter("b is null").select(F.col("a").alias("fp")), "large")
     pairs = found.filter("b is not null")
     if large.isEmpty():
         return pairs
-    balls = large.repartition("fp").mapInArrow(_neighbours, "key long, fp long")
-    return pairs.unionByName(_by_key(balls).mapInArrow(_chains, "a long, b long"))
+    balls = large.repartition("fp").mapInArrow(frugal(_neighbours), "key long, fp long")
+    return pairs.unionByName(_by_key(balls).mapInArrow(frugal(_chains), "a long, b long"))
 
 
 MEMBERS = "fp long, first long, root long"
@@ -295,7 +295,7 @@ def _members(classes: DataFrame, roots: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp, component_id`` per document, and ``text_hash``; ``fp`` as a signed long."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash"))
-    rows, _ = written(slim.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long"), "fingerprints")
+    rows, _ = written(slim.mapInArrow(frugal(_fingerprints), "doc_id long, fp long, text_hash long"), "fingerprints")
     classes, _ = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
     path = scratch_path(docs.sparkSession, "members")
     with scratch_scope(docs.sparkSession):

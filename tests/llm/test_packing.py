@@ -80,3 +80,20 @@ def test_pack_round_trip(spark, tmp_path):
     assert P.pack(df.limit(0), PATH).count() == 0
     with pytest.raises(ValueError):
         P.pack(df, PATH, longest=1000)
+
+
+def test_a_worker_gives_memory_back_when_its_task_ends(spark, monkeypatch):
+    from frametide.llm import common, packing
+
+    calls = []
+    monkeypatch.setattr(common, "released", lambda: calls.append(1))
+    twice = common.frugal(lambda batches: (2 * x for x in batches))
+    assert list(twice(iter([1, 2]))) == [2, 4] and calls == [1]
+    cut = twice(iter([1, 2]))
+    assert next(cut) == 2
+    cut.close()
+    assert calls == [1, 1]
+    used, frugal = [], packing.frugal
+    monkeypatch.setattr(packing, "frugal", lambda run: used.append(1) or frugal(run))
+    packing.pack(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "unused")
+    assert used == [1]
