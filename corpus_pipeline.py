@@ -29,7 +29,7 @@ def line_spread(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word similarity of 0.8 or more) the document with the smallest id stays."""
+    """Of each component of near copies (five-word similarity of 0.8 or more; found by Golay links of SimHash fingerprints and by MinHash bands) the document with the smallest id stays."""
     return simhash.keep_one(docs, find=shingled.near_duplicates)
 
 

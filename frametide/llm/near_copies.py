@@ -1,11 +1,13 @@
 """Near copies by exact similarity of five-word shingles.
 
 Two documents are near copies if the Jaccard similarity of their sets of ``SHINGLE``-word shingles is ``SIMILAR`` or more, and
-components of them belong together. Candidates share a band of ``ROWS`` minimum hashes; with ``BANDS`` bands a pair at the
-threshold itself is missed with a chance of 1.3 in 10^7, and a more similar one with less. Each link rests on an exact
-comparison of both sets, but for pairs whose sizes or odd sketches alone rule the similarity out:
+components of them belong together. Candidates are found by the Golay links of SimHash fingerprints (:mod:`frametide.llm.simhash`); as
+most pairs near the threshold differ in more bits than these reach, texts that share a band of ``ROWS`` minimum hashes are candidates
+too. With ``BANDS`` bands a pair at the threshold itself is missed with a chance of 1.3 in 10^7, and a more similar one with less. Each
+link rests on an exact comparison of both sets, but for pairs whose sizes or odd sketches alone rule the similarity out:
 
-* first each document with the first of its bucket and with the ``BACK`` before it, which is linear in the bucket;
+* first, of each link between fingerprints, a text of either, and each text with one of its own fingerprint; further
+  each document with the first of its bucket and with the ``BACK`` before it. That is linear in links and buckets;
 * then, in buckets that hold documents of different components, all pairs across these. So of two candidates either both
   are in one component already or they are compared, and no size of a bucket cuts anything off. They are compared by their
   sizes and odd sketches, in arrays, and only a pair that these leave possible becomes a row. An odd sketch has the parity of the
@@ -27,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frametide.llm.common import scratch_path, scratch_scope, stretches, written
+from frametide.llm import simhash
+from frametide.llm.common import frugal, scratch_path, scratch_scope, stretches, written
 from frametide.llm.components import components
+from frametide.llm.simhash import fingerprint
 
 SHINGLE = 5
 #: Similarity from which two documents are near copies, as a fraction.
@@ -97,7 +101,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(batch), 1024):
             part = batch.slice(at, 1024)
             keys = band_keys(x.as_py() for x in part.column(2))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(list(keys))], names=["doc_id", "node", "keys"])
+            prints = np.fromiter((fingerprint(x.as_py()) for x in part.column(2)), dtype=np.uint64, count=len(part))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints.view(np.int64)), _lists(list(keys))], names=["doc_id", "node", "fp", "keys"])
 
 
 def odd_sketch(hashes: np.ndarray) -> np.ndarray:
@@ -191,7 +196,7 @@ def across(bands: DataFrame, sets: DataFrame, of: DataFrame) -> DataFrame:
     units = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least(j, block).alias("low"), F.greatest(j, block).alias("high")))
     rows = rows.select("key", F.explode(units).alias("unit"), "root", block.alias("block"), "node", "size", "odd")
     rows = rows.select("key", "unit.low", "unit.high", "root", "block", "node", "size", "odd")
-    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "root", "node").mapInArrow(_across, "a long, b long").distinct()
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "root", "node").mapInArrow(frugal(_across), "a long, b long").distinct()
 
 
 def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -212,14 +217,23 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").filter((part + whole) * F.size(F.array_intersect("x", "y")) >= part * (n + m)).select("a", "b")
 
 
+def fingerprint_links(bands: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of texts (``node, fp``): each text with one of its fingerprint, and that one's with those of the linked fingerprints."""
+    ones, _ = written(bands.groupBy("fp").agg(F.min("node").alias("one")), "fingerprint-texts")
+    own = bands.select("fp", F.col("node").alias("x")).join(ones.withColumnRenamed("one", "y"), "fp").filter("x <> y")
+    near = simhash.links(ones.select("fp")).join(ones.toDF("a", "x"), "a").join(ones.toDF("b", "y"), "b")
+    return own.select("x", "y").unionByName(near.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def roots(texts: DataFrame, bands: DataFrame) -> DataFrame | None:
-    """``node, root`` of the texts (``node, text``; ``bands``: ``node, first, keys``, nodes distinct) that have a near copy."""
+    """``node, root`` of the texts (``node, text``; ``bands``: ``node, first, fp, keys``, nodes distinct) that have a near copy."""
     keys = bands.select(F.explode("keys").alias("key"), "node", "first")
-    near, _ = written(keys.repartition("key").sortWithinPartitions("key", "first", "node").mapInArrow(_neighbours, "a long, b long").distinct(), "candidates")
+    neighbours = keys.repartition("key").sortWithinPartitions("key", "first", "node").mapInArrow(frugal(_neighbours), "a long, b long")
+    near, _ = written(fingerprint_links(bands).unionByName(neighbours).distinct(), "candidates")
     paired, _ = written(near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidate-nodes")
     if paired.isEmpty():
         return None
-    sets, _ = written(texts.dropDuplicates(["node"]).join(paired, "node", "left_semi").select("node", "text").mapInArrow(_sets, "node long, size long, odd array<long>, shingles array<long>"), "shingle-sets")
+    sets, _ = written(texts.dropDuplicates(["node"]).join(paired, "node", "left_semi").select("node", "text").mapInArrow(frugal(_sets), "node long, size long, odd array<long>, shingles array<long>"), "shingle-sets")
     links, _ = written(verified(written(possible(near, sets), "candidates-possible")[0], sets), "near-links")
     first = components(links)
     of = paired.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
@@ -234,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("node"), F.col(text).alias("text"))
     path = scratch_path(spark, "near-copy-ids")
     with scratch_scope(spark):
-        found = slim.mapInArrow(_bands, "doc_id long, node long, keys array<long>").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"))
+        found = slim.mapInArrow(frugal(_bands), "doc_id long, node long, fp long, keys array<long>").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
         bands, _ = written(found, "bands")
         of = roots(slim.select("node", "text"), bands)
         ids = bands.select("node", "first")

@@ -127,3 +127,34 @@ def test_stretches(monkeypatch):
 
 def test_empty(spark):
     assert N.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_golay_links_of_fingerprints_give_candidates(spark, monkeypatch):
+    import random
+
+    import corpus_pipeline
+    from frametide.llm import near_copies, simhash
+
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(12)]
+    texts += [t + f" tail{k}" for t in texts[:6] for k in range(4)] + [texts[0].upper(), None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    prints = [simhash.fingerprint(t) for t in texts]
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    bands = spark.createDataFrame([(i, p) for i, p in enumerate(signed)], "node long, fp long")
+
+    def reach(pairs):
+        up = list(range(len(texts)))
+        for a, b in [*pairs] * len(texts):
+            up[a] = up[b] = min(up[a], up[b])
+        return up
+
+    found = [tuple(r) for r in near_copies.fingerprint_links(bands).select("a", "b").collect()]
+    want = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= simhash.MAX_BITS]
+    assert reach(found) == reach(want) and len({*reach(found)}) < len(texts) - 20
+
+    called, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints: called.append(1) or links(prints))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect())
+    assert called and kept == [*range(12), len(texts) - 2]
