@@ -144,3 +144,46 @@ def test_whole_frames_are_seen_one_by_one_and_move_nowhere(spark):
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.frame_idx, r.rank, r.x2 - r.x1) for r in found.collect())
     assert [(f, k) for f, k, _ in got] == [(f, k) for f in (1, 2) for k in range(17)] and [w for _, _, w in got].count(64.0) == 2
+
+
+def test_whole_frames_share_batches(spark, tmp_path):
+    from frametide.detector import BrightBlocks
+    from frametide.plans.detect import detect
+    from frametide.settings import Settings
+
+    calls = tmp_path / "calls"
+
+    class Counting(BrightBlocks):
+        def detect(self, patches, conf, classes):
+            with open(str(calls), "a") as f:
+                f.write(f"{patches.shape[1]}x{len(patches)} ")
+            return super().detect(patches, conf, classes)
+
+    rows = [(i, w, 64, 3, bytearray(np.full((64, w, 3), 200 if i % 2 else 0, np.uint8).tobytes())) for i, w in enumerate([64, 80] * 5)]
+    rows.append((10, 64, 64, 1, bytearray(np.full((64, 64, 1), 200, np.uint8).tobytes())))
+    df = spark.createDataFrame(rows, "frame_idx long, w int, h int, channels int, data binary").coalesce(1)
+    found = detect(df, Counting(), Settings(patch_size=64, min_overlap=16, global_context=True, global_size=16, iou=1.0), key="frame_idx").collect()
+    assert calls.read_text().split().count("16x8") == 3  # eight, two more and one of other channels; not eleven calls
+    bright = {1, 3, 5, 7, 9, 10}
+    assert {r.frame_idx for r in found} == bright
+    wide = [(r.frame_idx, r.x1, r.y1, r.x2, r.y2) for r in found if r.x2 - r.x1 > 16]
+    assert sorted(wide) == [(i, 0.0, 0.0, 64.0 if i == 10 else 80.0, 64.0) for i in sorted(bright)]
+
+
+def test_resize_by_brute_force():
+    from frametide.functions import pixels
+
+    rng = np.random.default_rng(5)
+    for h, w, height, width, channels in ((9, 40, 4, 4, 3), (5, 7, 11, 13, 1), (6, 6, 3, 5, 4), (1, 1, 2, 3, 3)):
+        image = rng.integers(0, 256, (h, w, channels), dtype=np.uint8)
+        got = pixels.resize(image, width, height)
+        assert got.shape == (height, width, channels) and got.dtype == np.uint8
+        for y in range(height):
+            for x in range(width):
+                v, u = min(max((y + 0.5) * h / height - 0.5, 0), h - 1), min(max((x + 0.5) * w / width - 0.5, 0), w - 1)
+                i, j = int(v), int(u)
+                k, m = min(i + 1, h - 1), min(j + 1, w - 1)
+                p = image.astype(float)
+                left = p[i, j] * (1 - (v - i)) + p[k, j] * (v - i)
+                right = p[i, m] * (1 - (v - i)) + p[k, m] * (v - i)
+                assert (got[y, x] == np.rint(left * (1 - (u - j)) + right * (u - j))).all()
